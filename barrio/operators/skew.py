@@ -1,0 +1,92 @@
+"""Equi-joins that stay even when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A key with more rows than this is sliced.
+SLICE_ROWS = 20_000
+# Only the heaviest keys are listed, so the list can be broadcast whatever the data size.
+# A key outside the list holds less than 1/MAX_HEAVY_KEYS of the rows and needs no slicing.
+MAX_HEAVY_KEYS = 2_000
+
+
+def heavy_keys(df: DataFrame, keys: list[str], slices: str, slice_rows: int) -> DataFrame:
+    """The heaviest keys with their slice count: at most MAX_HEAVY_KEYS rows.
+
+    Counting combines on the map side. The order is total, so every evaluation of this plan
+    yields the same list, and rows and replicas always agree on their slice.
+    """
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > slice_rows)
+        .orderBy(F.desc("_n"), *keys)
+        .limit(MAX_HEAVY_KEYS)
+        .select(*keys, F.ceil(F.col("_n") / F.lit(slice_rows)).cast("int").alias(slices))
+    )
+
+
+def _sliced(df: DataFrame, heavy: DataFrame, keys: list[str], spread_by: list[str],
+            own: str, own_slices: str, other: str, other_slices: str) -> DataFrame:
+    """Give each row its own slice and one copy per slice of the other side."""
+    joined = df.join(F.broadcast(heavy), keys, "left")
+    slice_of = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col(own_slices), F.lit(1)))
+    copies = F.sequence(F.lit(0), F.coalesce(F.col(other_slices), F.lit(1)) - 1)
+    return (
+        joined.withColumn(own, slice_of.cast("int"))
+        .withColumn(other, F.explode(copies))
+        .drop(own_slices, other_slices)
+    )
+
+
+def sliced_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_spread: list[str],
+    right_spread: list[str],
+    condition: Column | None = None,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """Inner equi-join where a heavy key is cut into a left-by-right grid of tasks.
+
+    Every left row meets every right row of its key exactly once: a left row sits in one
+    left slice and is copied to all right slices, and the other way round.
+    """
+    heavy = heavy_keys(left, keys, "_ls", slice_rows).join(
+        heavy_keys(right, keys, "_rs", slice_rows), keys, "full"
+    )
+    a = _sliced(left, heavy, keys, left_spread, "_l", "_ls", "_r", "_rs")
+    b = _sliced(right, heavy, keys, right_spread, "_r", "_rs", "_l", "_ls")
+    out = a.join(b, [*keys, "_l", "_r"])
+    if condition is not None:
+        out = out.where(condition)
+    return out.drop("_l", "_r")
+
+
+def sliced_lookup(
+    big: DataFrame,
+    small: DataFrame,
+    keys: list[str],
+    spread: list[str],
+    how: str = "left",
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """Join `big` to a table whose keys are unique, slicing the heavy keys of `big`.
+
+    `how` is left, inner, left_semi or left_anti. The lookup row of a heavy key is copied to
+    each slice. Rows with a null key match nothing and are scattered freely.
+    """
+    heavy = F.broadcast(heavy_keys(big.dropna(subset=keys), keys, "_ls", slice_rows))
+    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
+    slices = F.when(no_key, F.lit(4096)).otherwise(F.coalesce(F.col("_ls"), F.lit(1)))
+    slice_of = F.pmod(F.xxhash64(*spread), slices)
+    a = big.join(heavy, keys, "left").withColumn("_l", slice_of.cast("int")).drop("_ls")
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_ls"), F.lit(1)) - 1)
+    b = small.join(heavy, keys, "left").withColumn("_l", F.explode(copies)).drop("_ls")
+    return a.join(b, [*keys, "_l"], how).drop("_l")
