@@ -94,30 +94,26 @@ def activity_text(col: Column) -> Column:
 
 def tokens(col: Column) -> Column:
     """Distinct non-empty words of an already normalised name."""
-    return F.array_distinct(F.filter(F.split(col, " "), lambda t: t != ""))
+    return F.array_remove(F.array_distinct(F.split(col, " ")), "")
 
 
 def dice_tokens(a: Column, b: Column) -> Column:
     """Sørensen–Dice over distinct words; equal names give 1, an empty side 0."""
     ta, tb = tokens(a), tokens(b)
-    total = F.size(ta) + F.size(tb)
     shared = F.size(F.array_intersect(ta, tb))
-    return (
-        F.when((a == "") & (b == ""), F.lit(0.0))
-        .when(a == b, F.lit(1.0))
-        .when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.0))
-        .otherwise(F.lit(2.0) * shared / F.nullif(total, F.lit(0)))
+    similarity = F.lit(2.0) * shared / F.nullif(F.size(ta) + F.size(tb), F.lit(0))
+    return F.when(a == b, F.when(a == "", 0.0).otherwise(1.0)).otherwise(
+        F.coalesce(similarity, F.lit(0.0))
     )
 
 
 def is_generic_name(name: Column) -> Column:
-    """True where the name is a category label or made of category words only."""
-    upper = F.upper(F.trim(name))
-    words = F.filter(F.split(upper, " "), lambda t: t != "")
-    return (upper != "") & (
-        upper.isin(GENERIC_NAMES)
-        | ((F.size(words) > 0) & F.forall(words, lambda t: t.isin(GENERIC_TOKENS)))
-    )
+    """True where the name is a category label or made of category words only.
+
+    Every label consists of category words, so one pattern over the words covers both.
+    """
+    word = "(?:" + "|".join(GENERIC_TOKENS) + ")"
+    return F.upper(name).rlike(f"^ *{word}(?: +{word})* *$")
 
 
 def contains_any(col: Column, needles: list[str]) -> Column:

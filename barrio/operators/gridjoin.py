@@ -14,9 +14,8 @@ KEYS = ["_gy", "_gx"]
 def with_cell(df: DataFrame, cell_m: float, lat: str = "lat", lng: str = "lng") -> DataFrame:
     """Add the grid cell of each position."""
     row = F.floor(F.col(lat) / F.lit(lat_step(cell_m)))
-    return df.withColumn("_gy", row).withColumn(
-        "_gx", F.floor(F.col(lng) / lng_step(F.col("_gy"), cell_m))
-    )
+    column = F.floor(F.col(lng) / lng_step(row, cell_m))
+    return df.select("*", row.alias("_gy"), column.alias("_gx"))
 
 
 def with_reach(
@@ -28,14 +27,14 @@ def with_reach(
     row_ids = F.sequence(
         F.floor((F.col(lat) - reach_lat) / step), F.floor((F.col(lat) + reach_lat) / step)
     )
-    rows = df.withColumn("_radius", radius).withColumn("_gy", F.explode(row_ids))
+    rows = df.select("*", radius.alias("_reach"), F.explode(row_ids).alias("_gy"))
     width = lng_step(F.col("_gy"), cell_m)
     # Radius in degrees, at the latitude where it spans most degrees.
-    reach_lng = F.col("_radius") / F.lit(cell_m) * width
+    reach_lng = F.col("_reach") / F.lit(cell_m) * width
     columns = F.sequence(
         F.floor((F.col(lng) - reach_lng) / width), F.floor((F.col(lng) + reach_lng) / width)
     )
-    return rows.withColumn("_gx", F.explode(columns)).drop("_radius")
+    return rows.select("*", F.explode(columns).alias("_gx"))
 
 
 def within_distance(
@@ -57,7 +56,7 @@ def within_distance(
     keys = [*KEYS, *(on or [])]
     pairs = sliced_join(
         with_cell(places, cell_m),
-        with_reach(centres.withColumn("_reach", radius), cell_m, F.col("_reach"), "c_lat", "c_lng"),
+        with_reach(centres, cell_m, radius, "c_lat", "c_lng"),
         keys,
         place_spread,
         centre_spread,
@@ -66,9 +65,8 @@ def within_distance(
     )
     away = distance_m(F.col("c_lat"), F.col("c_lng"), F.col("lat"), F.col("lng"))
     return (
-        pairs.withColumn("distance_m", away)
-        .where(F.col("distance_m") <= F.col("_reach"))
-        .drop("_reach", *KEYS)
+        pairs.select("*", away.alias("distance_m"))
+        .where(F.col("distance_m") <= F.col("_reach")).drop("_reach", *KEYS)
     )
 
 
@@ -90,17 +88,16 @@ def in_boxes(
     Each box takes the tile level that fits its size, so it touches at most four tiles, and
     places are keyed once per level in use (at most 22 levels exist).
     """
-    sized = boxes.withColumn("_level", level_of(*map(F.col, ("north", "south", "east", "west"))))
+    sized = boxes.select("*", level_of(*map(F.col, ("north", "south", "east", "west"))).alias("_level"))
     levels = sized.select("_level").distinct()
     used = sorted(r[0] for r in levels.limit(64).collect() if r[0] is not None)
     tile = F.pow(F.lit(2.0), F.col("_level").cast("double"))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile))
-    tiled = sized.withColumn("_ty", F.explode(span("south", "north"))).withColumn(
-        "_tx", F.explode(span("west", "east"))
-    )
-    keyed = places.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in used or [0]])))
-    keyed = keyed.withColumn("_ty", F.floor(F.col("lat") / tile)).withColumn(
-        "_tx", F.floor(F.col("lng") / tile)
+    tiled = sized.select("*", F.explode(span("south", "north")).alias("_ty"))
+    tiled = tiled.select("*", F.explode(span("west", "east")).alias("_tx"))
+    keyed = places.select("*", F.explode(F.array(*[F.lit(v) for v in used or [0]])).alias("_level"))
+    keyed = keyed.select(
+        "*", F.floor(F.col("lat") / tile).alias("_ty"), F.floor(F.col("lng") / tile).alias("_tx")
     )
     inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lng").between(
         F.col("west"), F.col("east")

@@ -9,6 +9,7 @@ from barrio.functions.classify import type_class, types_compatible
 from barrio.functions.text import GENERIC_TOKENS, dice_tokens, is_generic_name, tokens
 from barrio.operators.gridjoin import within_distance
 from barrio.operators.skew import SLICE_ROWS
+from barrio.session import materialise
 
 RADIUS_M = 30.0
 MATCH_VERSION = "censo-match-v2-high-precision"
@@ -66,9 +67,8 @@ def evaluate_pairs(pairs: DataFrame) -> DataFrame:
     osm_name, censo_name = F.trim("osm_name"), F.trim("censo_name")
     fit = (
         F.col("distance_m").between(0, RADIUS_M)
-        & (osm_name != "") & (censo_name != "")
-        & ~is_generic_name(osm_name) & ~is_generic_name(censo_name)
         & types_compatible(F.col("osm_type"), F.col("censo_type"))
+        & (osm_name != "") & (censo_name != "")
     )
     similarity = F.col("name_similarity")
     method = (
@@ -76,12 +76,10 @@ def evaluate_pairs(pairs: DataFrame) -> DataFrame:
         .when((similarity >= 0.8) & (F.col("distance_m") <= 20), METHODS[1])
         .when((similarity >= MIN_SIMILARITY) & (F.col("distance_m") <= 10), METHODS[2])
     )
-    return (
-        pairs.where(fit)
-        .withColumn("name_similarity", dice_tokens(osm_name, censo_name))
-        .withColumn("method", method)
-        .where("method is not null")
-        .withColumn("match_version", F.lit(MATCH_VERSION))
+    alike = pairs.where(fit).select("*", dice_tokens(osm_name, censo_name).alias("name_similarity"))
+    named = alike.select("*", method.alias("method"), F.lit(MATCH_VERSION).alias("match_version"))
+    return named.where("method is not null").where(
+        ~is_generic_name(osm_name) & ~is_generic_name(censo_name)
     )
 
 
@@ -90,16 +88,10 @@ def _signature(name: Column) -> Column:
 
     Dice >= t forces an overlap of at least ceil(|x| t/(2-t)) words, so in any fixed word order
     two similar names share a word among the first |x| - overlap + 1 of each (prefix filtering).
-    Category words come last in the order, which keeps the most frequent keys out.
+    Category words get a mark that sorts last, which keeps the most frequent keys out.
     """
-    ordered = F.transform(
-        F.array_sort(
-            F.transform(
-                tokens(name), lambda t: F.struct(t.isin(GENERIC_TOKENS).alias("g"), t.alias("t"))
-            )
-        ),
-        lambda s: s["t"],
-    )
+    category = f"(?<![^ ])({'|'.join(GENERIC_TOKENS)})(?![^ ])"
+    ordered = F.sort_array(tokens(F.regexp_replace(name, category, "~$1")))
     needed = F.ceil(F.size(ordered) * F.lit(MIN_SIMILARITY / (2 - MIN_SIMILARITY)) - F.lit(1e-9))
     return F.slice(ordered, 1, F.greatest(F.size(ordered) - needed + 1, F.lit(1)).cast("int"))
 
@@ -107,41 +99,42 @@ def _signature(name: Column) -> Column:
 def _named_sites(df: DataFrame, prefix: str) -> DataFrame:
     """Rows that agree on position, name and type, folded into one with a count.
 
-    All of them have the same partners, so copies never need to be paired one by one.
+    All of them have the same partners, so copies never need to be paired one by one. One row
+    per site and signature word.
     """
-    name = F.trim("normalized_name")
-    return (
-        df.where((name != "") & ~is_generic_name(name) & F.col("place_type").isNotNull())
-        .groupBy("lat", "lng", name.alias(f"{prefix}_name"), F.col("place_type").alias(f"{prefix}_type"))
+    name, kind = f"{prefix}_name", f"{prefix}_type"
+    trimmed = F.trim("normalized_name")
+    sites = (
+        df.where((trimmed != "") & F.col("place_type").isNotNull())
+        .groupBy("lat", "lng", trimmed.alias(name), F.col("place_type").alias(kind))
         .agg(
             F.count(F.lit(1)).alias(f"{prefix}_rows"),
             F.min(F.struct("id", "source_name", "source_local_id")).alias(f"{prefix}_key"),
         )
-        .withColumn("_class", type_class(F.col(f"{prefix}_type")))
-        .withColumn("_words", _signature(F.col(f"{prefix}_name")))
+        .where(~is_generic_name(F.col(name)))
+        .select("*", type_class(F.col(kind)).alias("_class"), _signature(F.col(name)).alias(f"_{prefix}_words"))
     )
+    return sites.select("*", F.explode(f"_{prefix}_words").alias("_word"))
 
 
 def qualified_sites(osm: DataFrame, censo: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Site pairs with name evidence, without listing every pair of a dense area.
 
     Pairs meet on cell, type class and a shared signature word, so only plausible names are
-    compared. A pair sharing several words is kept for the first of them.
+    compared. A pair sharing several words is kept for the first of them. The sites and the
+    pairs are written once, as each feeds several consumers.
     """
-    a = _named_sites(osm, "osm").withColumnRenamed("_words", "_ow")
-    a = a.withColumn("_word", F.explode("_ow"))
-    b = _named_sites(censo, "censo").withColumnRenamed("_words", "_cw")
-    b = (
-        b.withColumn("_word", F.explode("_cw"))
-        .withColumnRenamed("lat", "c_lat")
-        .withColumnRenamed("lng", "c_lng")
+    a = materialise(_named_sites(osm, "osm"), "osm-sites")
+    b = materialise(_named_sites(censo, "censo"), "censo-sites").withColumnsRenamed(
+        {"lat": "c_lat", "lng": "c_lng"}
     )
-    first_shared = F.col("_word") == F.array_min(F.array_intersect("_ow", "_cw"))
+    first_shared = F.col("_word") == F.array_min(F.array_intersect("_osm_words", "_censo_words"))
     pairs = within_distance(
         a, b, F.lit(RADIUS_M), RADIUS_M, ["osm_key"], ["censo_key"], ["_class", "_word"],
         first_shared, slice_rows,
     )
-    return evaluate_pairs(pairs.drop("_class", "_word", "_ow", "_cw", "lat", "lng", "c_lat", "c_lng"))
+    inner = ["_class", "_word", "_osm_words", "_censo_words", "lat", "lng", "c_lat", "c_lng"]
+    return materialise(evaluate_pairs(pairs.drop(*inner)), "qualified-sites")
 
 
 def one_to_one(sites: DataFrame) -> DataFrame:
@@ -297,16 +290,21 @@ def type_mismatches(nearest: DataFrame) -> DataFrame:
     )
 
 
-def overlap_candidates(osm: DataFrame, censo: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
-    """Number of register rows with any place within the radius, over distinct positions."""
+def overlap_by_source(osm: DataFrame, censo: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
+    """Register rows per source with any place within the radius, over distinct positions."""
     places = osm.groupBy("lat", "lng").agg(F.min("id").alias("osm_id"))
-    spots = censo.groupBy(F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng")).agg(
+    spots = censo.groupBy("source_name", F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng")).agg(
         F.count(F.lit(1)).alias("c_n"), F.min("id").alias("c")
     )
     near = within_distance(places, spots, F.lit(radius_m), radius_m, ["osm_id"], ["c"])
-    return near.groupBy("c").agg(F.max("c_n").alias("c_n")).agg(
-        F.coalesce(F.sum("c_n"), F.lit(0)).alias("overlap_candidates")
-    )
+    per_spot = near.groupBy("source_name", "c").agg(F.max("c_n").alias("c_n"))
+    return per_spot.groupBy("source_name").agg(F.sum("c_n").alias("overlap_candidates"))
+
+
+def overlap_candidates(osm: DataFrame, censo: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
+    """Number of register rows with any place within the radius."""
+    by_source = overlap_by_source(osm, censo, radius_m)
+    return by_source.agg(F.coalesce(F.sum("overlap_candidates"), F.lit(0)).alias("overlap_candidates"))
 
 
 def distance_bands(osm: DataFrame, censo: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Equi-joins that stay even when one key holds a large share of the rows."""
+"""Equi-joins that stay even when one key holds a large share of the rows.
+
+Before a join, a map-side combined count finds the heavy keys. There usually are none, and the
+join is then an ordinary one that Spark plans and adapts by itself. Rows of a heavy key are cut
+into slices, and the matching rows of the other side are copied to each slice.
+"""
 
 from __future__ import annotations
 
@@ -10,38 +15,40 @@ from pyspark.sql import functions as F
 
 # A key with more rows than this is sliced.
 SLICE_ROWS = 20_000
-# Only the heaviest keys are listed, so the list can be broadcast whatever the data size.
-# A key outside the list holds less than 1/MAX_HEAVY_KEYS of the rows and needs no slicing.
+# Only the heaviest keys are listed, so the list stays small whatever the data size. A key
+# outside it holds less than 1/MAX_HEAVY_KEYS of the rows.
 MAX_HEAVY_KEYS = 2_000
+MAX_SLICES = 4_096
 
 
-def heavy_keys(df: DataFrame, keys: list[str], slices: str, slice_rows: int) -> DataFrame:
-    """The heaviest keys with their slice count: at most MAX_HEAVY_KEYS rows.
+def heavy_keys(
+    left: DataFrame, right: DataFrame | None, keys: list[str], slice_rows: int = SLICE_ROWS
+) -> DataFrame | None:
+    """Slice counts (_ls, _rs) of the heaviest keys, at most MAX_HEAVY_KEYS rows; None if none.
 
-    Counting combines on the map side. The order is total, so every evaluation of this plan
-    yields the same list, and rows and replicas always agree on their slice.
+    Runs one aggregation over the key columns only.
     """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > slice_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HEAVY_KEYS)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(slice_rows)).cast("int").alias(slices))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    rows = left.select(*keys, one.alias("_ln"), zero.alias("_rn"))
+    if right is not None:
+        rows = rows.unionAll(right.select(*keys, zero, one))
+    slices = lambda n: F.least(F.ceil(F.col(n) / F.lit(slice_rows)), F.lit(MAX_SLICES))
+    listed = (
+        rows.dropna(subset=keys).groupBy(*keys).agg(F.sum("_ln").alias("_ln"), F.sum("_rn").alias("_rn"))
+        .where((F.col("_ln") > slice_rows) | (F.col("_rn") > slice_rows))
+        .orderBy(F.desc(F.greatest("_ln", "_rn"))).limit(MAX_HEAVY_KEYS)
+        .select(*keys, *[F.greatest(slices(n), F.lit(1)).cast("int").alias(s) for n, s in (("_ln", "_ls"), ("_rn", "_rs"))])
     )
+    table = listed.toArrow()
+    return left.sparkSession.createDataFrame(table, listed.schema) if table.num_rows else None
 
 
-def _sliced(df: DataFrame, heavy: DataFrame, keys: list[str], spread_by: list[str],
-            own: str, own_slices: str, other: str, other_slices: str) -> DataFrame:
-    """Give each row its own slice and one copy per slice of the other side."""
-    joined = df.join(F.broadcast(heavy), keys, "left")
-    slice_of = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col(own_slices), F.lit(1)))
-    copies = F.sequence(F.lit(0), F.coalesce(F.col(other_slices), F.lit(1)) - 1)
-    return (
-        joined.withColumn(own, slice_of.cast("int"))
-        .withColumn(other, F.explode(copies))
-        .drop(own_slices, other_slices)
-    )
+def _slice(spread_by: list[str], slices: str) -> Column:
+    return F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col(slices), F.lit(1))).cast("int")
+
+
+def _copies(slices: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(slices), F.lit(1)) - 1))
 
 
 def sliced_join(
@@ -58,11 +65,17 @@ def sliced_join(
     Every left row meets every right row of its key exactly once: a left row sits in one
     left slice and is copied to all right slices, and the other way round.
     """
-    heavy = heavy_keys(left, keys, "_ls", slice_rows).join(
-        heavy_keys(right, keys, "_rs", slice_rows), keys, "full"
+    heavy = heavy_keys(left, right, keys, slice_rows)
+    if heavy is None:
+        out = left.join(right, keys)
+        return out if condition is None else out.where(condition)
+    heavy = F.broadcast(heavy)
+    a = left.join(heavy, keys, "left").select(
+        *left.columns, _slice(left_spread, "_ls").alias("_l"), _copies("_rs").alias("_r")
+    )
+    b = right.join(heavy, keys, "left").select(
+        *right.columns, _slice(right_spread, "_rs").alias("_r"), _copies("_ls").alias("_l")
     )
-    a = _sliced(left, heavy, keys, left_spread, "_l", "_ls", "_r", "_rs")
-    b = _sliced(right, heavy, keys, right_spread, "_r", "_rs", "_l", "_ls")
     out = a.join(b, [*keys, "_l", "_r"])
     if condition is not None:
         out = out.where(condition)
@@ -79,14 +92,18 @@ def sliced_lookup(
 ) -> DataFrame:
     """Join `big` to a table whose keys are unique, slicing the heavy keys of `big`.
 
-    `how` is left, inner, left_semi or left_anti. The lookup row of a heavy key is copied to
-    each slice. Rows with a null key match nothing and are scattered freely.
+    `how` is left, inner, left_semi or left_anti. Rows with a null key match nothing and are
+    scattered freely; they would otherwise all land in one task.
     """
-    heavy = F.broadcast(heavy_keys(big.dropna(subset=keys), keys, "_ls", slice_rows))
+    heavy = heavy_keys(big, None, keys, slice_rows)
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
-    slices = F.when(no_key, F.lit(4096)).otherwise(F.coalesce(F.col("_ls"), F.lit(1)))
-    slice_of = F.pmod(F.xxhash64(*spread), slices)
-    a = big.join(heavy, keys, "left").withColumn("_l", slice_of.cast("int")).drop("_ls")
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_ls"), F.lit(1)) - 1)
-    b = small.join(heavy, keys, "left").withColumn("_l", F.explode(copies)).drop("_ls")
+    scattered = F.pmod(F.xxhash64(*spread), F.lit(MAX_SLICES)).cast("int")
+    if heavy is None:
+        a = big.select("*", F.when(no_key, scattered).otherwise(0).alias("_l"))
+        return a.join(small.select("*", F.lit(0).alias("_l")), [*keys, "_l"], how).drop("_l")
+    heavy = F.broadcast(heavy)
+    a = big.join(heavy, keys, "left").select(
+        *big.columns, F.when(no_key, scattered).otherwise(_slice(spread, "_ls")).alias("_l")
+    )
+    b = small.join(heavy, keys, "left").select(*small.columns, _copies("_ls").alias("_l"))
     return a.join(b, [*keys, "_l"], how).drop("_l")
