@@ -443,12 +443,10 @@ part(
 )
 
 
-@query("n22_log_coordinate", "select event_id, round(lat, 6) as lat, round(lng, 6) as lng from (@log_points)")
+@query("n22_log_coordinate", "select event_id, round(lat, 6) as lat, round(lng, 6) as lng from (@log_points) where lat is not null")
 def _(d: Data):
-    at = traffic.log_coordinate(F.col("uri"))
-    return d.fx_access_log.select(
-        "event_id", F.round(at["lat"], 6).alias("lat"), F.round(at["lng"], 6).alias("lng")
-    )
+    at = traffic.located_requests(d.fx_access_log.select("event_id", "uri"))
+    return at.select("event_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
 @query(

@@ -247,11 +247,13 @@ def attach_schedules(df: DataFrame, column: str, spread: list[str], slice_rows:
     return sliced_lookup(df, compiled, [column], spread, "left", slice_rows)
 
 
-def open_state(open_spans: Column, instant: Column) -> tuple[Column, Column]:
-    """(open, closes_at) at an instant; never open without a compiled schedule."""
-    minute = minute_of_week(instant)
+def open_state(open_spans: Column, week_minute: Column) -> tuple[Column, Column]:
+    """(open, closes_at) at a minute of the week; never open without a compiled schedule.
+
+    Pass the minute as a plain column: it is compared with every span.
+    """
     current = F.get(
-        F.filter(open_spans, lambda s: (s["start_min"] <= minute) & (minute < s["end_min"])), F.lit(0)
+        F.filter(open_spans, lambda s: (s["start_min"] <= week_minute) & (week_minute < s["end_min"])), F.lit(0)
     )
     return current.isNotNull(), F.when(current["until_min"].isNotNull(), clock_text(current["until_min"]))
 
@@ -295,16 +297,18 @@ def with_open_now(df: DataFrame, instant: str, spread: list[str], slice_rows: in
     hours, source = effective_hours(
         F.col("opening_hours_osm"), F.col("opening_hours_web"), F.col("place_type")
     )
-    rows = df.withColumn("_hours", hours).withColumn("_source", source)
+    rows = df.select(
+        "*", hours.alias("_hours"), source.alias("_source"), minute_of_week(F.col(instant)).alias("_week")
+    )
     rows = attach_schedules(rows, "_hours", spread, slice_rows)
-    is_open, closes_at = open_state(F.col("open_spans"), F.col(instant))
-    return rows.withColumn(
-        "open_now",
-        verdict(
-            F.col("place_type"), F.col("sells_takeaway_beer"), F.col("_source"), is_open, closes_at,
-            takeaway_prohibited(F.col(instant)),
-        ),
-    ).drop("_hours", "_source", "open_spans")
+    is_open, closes_at = open_state(F.col("open_spans"), F.col("_week"))
+    rows = rows.select("*", is_open.alias("_open"), closes_at.alias("_closes"))
+    day_minute = F.col("_week") % DAY_MIN
+    prohibited = (day_minute >= ORDINANCE_FROM_MIN) | (day_minute < ORDINANCE_TO_MIN)
+    block = verdict(
+        F.col("place_type"), F.col("sells_takeaway_beer"), F.col("_source"), F.col("_open"), F.col("_closes"), prohibited
+    )
+    return rows.withColumn("open_now", block).drop("_hours", "_source", "_week", "_open", "_closes", "open_spans")
 
 
 # --- validity and crawl results -----------------------------------------------

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barrio.functions.classify import lookup
-from barrio.operators.gridjoin import in_boxes, within_distance
+from barrio.functions.geo import lat_step, lng_step
+from barrio.operators.gridjoin import in_boxes, with_cell, with_reach, within_distance
 from barrio.operators.hours import with_open_now
 from barrio.operators.skew import SLICE_ROWS
+from barrio.session import materialise
 
 # Nearest rows considered before the open-now filter.
 OPEN_NOW_FETCH = 200
@@ -159,12 +161,45 @@ def places_in_radius(
     )
 
 
+def shrunk_radius(
+    queries: DataFrame, places: DataFrame, radius: Column, k: int, cell_m: float
+) -> DataFrame:
+    """Queries with `_radius`: a distance within which k places are certain, at most `radius`.
+
+    Places are counted per fine cell first. Taking a query's cells by their farthest point, the
+    distance at which the counts reach k bounds the k-th nearest place. So a query in a dense
+    area compares a few times k places, however many its full circle holds. A query touches a
+    fixed number of cells, and only cell counts take part.
+    """
+    counts = with_cell(places.select("lat", "lng"), cell_m).groupBy("_gy", "_gx").agg(F.count(F.lit(1)).alias("_n"))
+    cells = with_reach(queries.select("query_id", "lat", "lng", radius.alias("_full")), cell_m, F.col("_full"))
+    step, width = F.lit(lat_step(cell_m)), lng_step(F.col("_gy"), cell_m)
+    far = lambda at, low, size: F.greatest(F.abs(at - low), F.abs(low + size - at))
+    # No degree is longer than 111.7 km; the latitude nearest the equator makes degrees widest.
+    metre = F.lit(111_700.0)
+    dy = far(F.col("lat"), F.col("_gy") * step, step) * metre
+    flattest = F.least(F.abs("lat"), F.abs(F.col("_gy") * step), F.abs((F.col("_gy") + 1) * step))
+    dx = far(F.col("lng"), F.col("_gx") * width, width) * metre * F.cos(F.radians(flattest))
+    bounded = cells.join(counts, ["_gy", "_gx"]).select(
+        "query_id", "_n", F.sqrt(dy * dy + dx * dx).alias("_far")
+    )
+    grown = Window.partitionBy("query_id").orderBy("_far").rangeBetween(Window.unboundedPreceding, 0)
+    enough = (
+        bounded.select("query_id", "_far", F.sum("_n").over(grown).alias("_have")).where(F.col("_have") >= k)
+        .groupBy("query_id").agg(F.min("_far").alias("_bound"))
+    )
+    full = queries.join(enough, "query_id", "left")
+    return full.select(*queries.columns, F.least(radius, "_bound").alias("_radius"))
+
+
 def nearest_places(
     queries: DataFrame, places: DataFrame, radius: Column, k: int, cell_m: float,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """The k nearest places per query point, with `position` from 1; ties by id."""
-    near = places_in_radius(queries, places, radius, cell_m, slice_rows)
+    fine = cell_m / 8
+    asked = shrunk_radius(queries, places, radius, k, fine)
+    near = places_in_radius(asked, places, F.col("_radius"), fine, slice_rows).drop("_radius")
     return top_k(near, ["query_id"], [F.col("distance_m"), F.col("id")], k, "position", "id")
 
 
@@ -195,6 +230,8 @@ def nearest_open(
     rows = nearest_places(
         queries, served(stores).select(*columns), radius, max(limit, OPEN_NOW_FETCH), cell_m, slice_rows
     )
+    # At most OPEN_NOW_FETCH rows per query; written once, as schedules are read from them too.
+    rows = materialise(rows, "nearest")
     rows = with_open_now(rows, "at_time", ["query_id", "id"], slice_rows).where("open_now.sells_beer_now")
     rows = rows.withColumn("verification", verification(F.col("source_name"), F.col("matched_censo_source")))
     return trust_ranking(rows).where(F.col("trust_rank") <= limit)
@@ -215,6 +252,16 @@ def map_sample(views: DataFrame, places: DataFrame, limit: int, slice_rows: int
     return top_k(rows, ["view_id"], [hashed, F.col("id")], limit, "sample_rank", "id")
 
 
+def open_map_sample(views: DataFrame, stores: DataFrame, limit: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The sample's places that can sell at the viewport's instant; the limit comes first."""
+    columns = [
+        "id", "lat", "lng", "name", "place_type", "sells_takeaway_beer", "opening_hours_osm", "opening_hours_web",
+    ]
+    rows = map_sample(views, served(stores).select(*columns), limit, slice_rows)
+    rows = with_open_now(materialise(rows, "sample"), "at_time", ["view_id", "id"], slice_rows)
+    return rows.where("open_now.sells_beer_now")
+
+
 def grid_clusters(views: DataFrame, places: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Mean position and count per grid cell of each viewport; counts are complete."""
     rows = places_in_view(views, places.select("id", "lat", "lng"), slice_rows)

@@ -56,12 +56,28 @@ def exact_duplicates(stores: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFra
     return sliced_lookup(rows, groups, key, ["id"], "inner", slice_rows)
 
 
-def reprocessed_runs(runs: DataFrame) -> DataFrame:
-    """Runs flagged when the source's previous run had the same file hash."""
-    previous = Window.partitionBy("source_name").orderBy("id")
-    return runs.withColumn(
-        "reprocessed", F.coalesce(F.lag("file_hash").over(previous) == F.col("file_hash"), F.lit(False))
+def reprocessed_runs(runs: DataFrame, blocks: int = 64) -> DataFrame:
+    """Runs flagged when the source's previous run had the same file hash.
+
+    A source's ledger may be long, so it is cut into blocks of the id range. Inside a block the
+    previous run is a plain lag; the first run of a block looks at the last run of the nearest
+    earlier block, found among at most `blocks` summary rows per source.
+    """
+    bounds = runs.agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    block = F.floor((F.col("id") - lo) * blocks / (hi - lo + 1)).cast("int")
+    cut = runs.withColumn("_block", block)
+    last = cut.groupBy("source_name", "_block").agg(F.max_by("file_hash", "id").alias("_last"))
+    earlier = last.select(
+        "source_name", "_block",
+        F.lag("_last").over(Window.partitionBy("source_name").orderBy("_block")).alias("_carried"),
     )
+    inside = Window.partitionBy("source_name", "_block").orderBy("id")
+    lagged = cut.select("*", F.lag("id").over(inside).alias("_before"), F.lag("file_hash").over(inside).alias("_hash"))
+    joined = lagged.join(earlier, ["source_name", "_block"])
+    previous = F.when(F.col("_before").isNull(), F.col("_carried")).otherwise(F.col("_hash"))
+    flagged = joined.withColumn("reprocessed", F.coalesce(previous == F.col("file_hash"), F.lit(False)))
+    return flagged.drop("_block", "_carried", "_before", "_hash")
 
 
 def distribution(stores: DataFrame, columns: list[str]) -> DataFrame:
