@@ -51,8 +51,9 @@ def located_requests(log: DataFrame) -> DataFrame:
 
 
 def log_day(epoch: Column, text: Column) -> Column:
-    """Day of a request from a numeric or textual time, '?' without either."""
-    from_epoch = F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd")
+    """UTC day of a request from a numeric or textual time, '?' without either."""
+    days = F.floor(epoch / F.lit(86400.0)).cast("int")
+    from_epoch = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
     return F.coalesce(from_epoch, F.when(F.length(text) >= 10, F.substring(text, 1, 10)), F.lit("?"))
 
 

@@ -166,15 +166,16 @@ def scan_sample(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("x", guard(x)).withColumn("y", guard(y))
 
 
-def scan_access_log(spark: SparkSession, folder: str, name: str = "access") -> DataFrame:
+def scan_access_log(spark: SparkSession, folder: str, files: str = "{access.log,access-*.log*}") -> DataFrame:
     """JSON log lines of a base file and its rolled siblings, plain or gzip; bad lines dropped.
 
-    Files are matched by name inside the folder, so none is read twice.
+    Files are matched by name inside the folder, so none is read twice. `ts_epoch` is set for
+    numeric times, `ts_text` otherwise.
     """
     schema = (
         "ts string, request struct<uri: string, remote_ip: string, client_ip: string, remote_addr: string>"
     )
-    lines = spark.read.option("pathGlobFilter", f"{{{name}.log,{name}-*.log*}}").text(folder)
+    lines = spark.read.option("pathGlobFilter", files).text(folder)
     entry = lines.select(F.from_json("value", schema).alias("e")).where("e.request.uri is not null")
     epoch = F.when(F.col("e.ts").rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), F.col("e.ts").try_cast("double"))
     return entry.select(epoch.alias("ts_epoch"), F.col("e.ts").alias("ts_text"), "e.request.*")
