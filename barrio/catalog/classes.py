@@ -238,3 +238,17 @@ def _(d: Data):
     return d.fx_madrid_rows.groupBy(F.col("id_epigrafe").alias("code")).agg(
         F.count(F.lit(1)).alias("n")
     ).withColumn("is_target", c.is_target_code(F.col("code")))
+
+
+@query(
+    "j9_code_lookups",
+    "select 'bcn' as source, t as place_type, count(*) as n from (@bcn_class) group by 2 union all select 'andalucia', t, count(*) from (@andalucia_class) group by 2",
+)
+def _(d: Data):
+    """Code tables of fixed size act as expressions: rows of other codes drop out as in a join."""
+    yes = lambda x: F.col(x) == "Si"
+    bcn = c.classify_bcn(F.col("Codi_Activitat_2022"), yes("SN_Obert24h"), yes("SN_Servei_Degustacio"))
+    rows = d.fx_bcn_rows.select(F.lit("bcn").alias("source"), bcn["place_type"].alias("place_type")).union(
+        d.fx_andalucia_rows.select(F.lit("andalucia"), c.classify_andalucia(F.col("cnae"))["place_type"])
+    )
+    return rows.where("place_type is not null").groupBy("source", "place_type").agg(F.count(F.lit(1)).alias("n"))

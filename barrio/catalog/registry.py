@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barrio.fixtures import ORACLE_PARTS, oracle_text, projection, table
-from barrio.plans.snapshot import as_stores
+from barrio.plans.snapshot import STORE_COLUMNS, as_stores
+from barrio.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -25,7 +26,7 @@ class Data:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name == "stores":
-            return stores_table(projection(self.spark, self.folder, "fx_places"))
+            return stored_places(self.spark, self.folder)
         if name.startswith("fx_"):
             return projection(self.spark, self.folder, name)
         return table(self.spark, self.folder, name)
@@ -37,6 +38,26 @@ def stores_table(places: DataFrame) -> DataFrame:
     return as_stores(places.withColumn("badges", badges))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The stores snapshot of a test folder, in the engine's own layout.
+
+    Queries over stores read a Parquet table partitioned by source, as jobs on a published
+    snapshot do. It is derived from the test tables once per application.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    columns = [c for c in STORE_COLUMNS if c != "source_name"] + ["source_name"]
+    if key not in _STORED:
+        path = new_path(spark, "stores")
+        rows = stores_table(projection(spark, folder, "fx_places")).select(*columns)
+        rows.repartition(F.col("id")).write.partitionBy("source_name").parquet(path)
+        _STORED[key] = path
+    schema = ", ".join(f"{c} {STORE_COLUMNS[c]}" for c in columns)
+    return spark.read.schema(schema).parquet(_STORED[key])
+
+
 def query(name: str, oracle: str | None = None):
     """Register a query; the function gets a `Data`."""
 

@@ -27,6 +27,9 @@ GENERIC_TOKENS = [
 
 # White space as the web platform defines it; Java's \s covers ASCII only.
 _SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_SPACES = "\t\n\v\f\r " + "".join(
+    chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
+)
 _WORD = "A-Za-z0-9_"
 
 # The regex alternative for chain names stays small; beyond this the join form is used.
@@ -72,7 +75,7 @@ def _collapse(col: Column) -> Column:
 
 def js_trim(col: Column) -> Column:
     """Trim every Unicode space, not only U+0020."""
-    return F.regexp_replace(col, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.trim(col, F.lit(_SPACES))
 
 
 def fold_upper(col: Column) -> Column:

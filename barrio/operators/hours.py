@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barrio.functions.classify import lookup
 from barrio.functions.text import js_trim
 from barrio.operators.skew import SLICE_ROWS, sliced_lookup
+from barrio.session import materialise
 
 ZONE = "Europe/Madrid"
 DAY_MIN = 1440
@@ -232,19 +233,24 @@ def takeaway_prohibited(instant: Column) -> Column:
 
 def clock_text(minute: Column) -> Column:
     """HH:MM of a minute of the week."""
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
     of_day = minute % DAY_MIN
-    return F.format_string("%02d:%02d", F.floor(of_day / 60).cast("int"), (of_day % 60).cast("int"))
+    return F.concat(two(F.floor(of_day / 60)), F.lit(":"), two(of_day % 60))
 
 
 def attach_schedules(df: DataFrame, column: str, spread: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add the compiled `open_spans` of a schedule column.
 
-    Every distinct text is compiled once. A schedule shared by very many rows is sliced.
+    One aggregation lists the distinct texts with their row counts; each text is compiled once
+    and written, so that the join to it is planned on true sizes. A schedule shared by very many
+    rows is sliced where the table is too large to send around.
     """
-    compiled = compile_schedules(df.select(F.col(column).alias("schedule"))).select(
-        F.col("schedule").alias(column), "open_spans"
+    used = materialise(
+        df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_ln")), "schedules"
     )
-    return sliced_lookup(df, compiled, [column], spread, "left", slice_rows)
+    compiled = materialise(compile_schedules(used.select(F.col(column).alias("schedule"))), "compiled")
+    lookup_table = compiled.select(F.col("schedule").alias(column), "open_spans")
+    return sliced_lookup(df, lookup_table, [column], spread, "left", slice_rows, used)
 
 
 def open_state(open_spans: Column, week_minute: Column) -> tuple[Column, Column]:
@@ -302,7 +308,9 @@ def with_open_now(df: DataFrame, instant: str, spread: list[str], slice_rows: in
     )
     rows = attach_schedules(rows, "_hours", spread, slice_rows)
     is_open, closes_at = open_state(F.col("open_spans"), F.col("_week"))
-    rows = rows.select("*", is_open.alias("_open"), closes_at.alias("_closes"))
+    # The state leaves through a generator, so that a later filter on it is not folded back into
+    # a second search of the spans.
+    rows = rows.select("*", F.inline(F.array(F.struct(is_open.alias("_open"), closes_at.alias("_closes")))))
     day_minute = F.col("_week") % DAY_MIN
     prohibited = (day_minute >= ORDINANCE_FROM_MIN) | (day_minute < ORDINANCE_TO_MIN)
     block = verdict(

@@ -198,7 +198,7 @@ def nearest_places(
 ) -> DataFrame:
     """The k nearest places per query point, with `position` from 1; ties by id."""
     fine = cell_m / 8
-    asked = shrunk_radius(queries, places, radius, k, fine)
+    asked = materialise(shrunk_radius(queries, places, radius, k, fine), "radius")
     near = places_in_radius(asked, places, F.col("_radius"), fine, slice_rows).drop("_radius")
     return top_k(near, ["query_id"], [F.col("distance_m"), F.col("id")], k, "position", "id")
 

@@ -22,14 +22,16 @@ MAX_SLICES = 4_096
 
 
 def heavy_keys(
-    left: DataFrame, right: DataFrame | None, keys: list[str], slice_rows: int = SLICE_ROWS
+    left: DataFrame, right: DataFrame | None, keys: list[str], slice_rows: int = SLICE_ROWS,
+    counted: str | None = None,
 ) -> DataFrame | None:
     """Slice counts (_ls, _rs) of the heaviest keys, at most MAX_HEAVY_KEYS rows; None if none.
 
-    Runs one aggregation over the key columns only.
+    Runs one aggregation over the key columns only. `counted` names a column of `left` that
+    already holds row counts.
     """
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    rows = left.select(*keys, one.alias("_ln"), zero.alias("_rn"))
+    rows = left.select(*keys, (F.col(counted) if counted else one).alias("_ln"), zero.alias("_rn"))
     if right is not None:
         rows = rows.unionAll(right.select(*keys, zero, one))
     slices = lambda n: F.least(F.ceil(F.col(n) / F.lit(slice_rows)), F.lit(MAX_SLICES))
@@ -89,13 +91,18 @@ def sliced_lookup(
     spread: list[str],
     how: str = "left",
     slice_rows: int = SLICE_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join `big` to a table whose keys are unique, slicing the heavy keys of `big`.
 
     `how` is left, inner, left_semi or left_anti. Rows with a null key match nothing and are
-    scattered freely; they would otherwise all land in one task.
+    scattered freely; they would otherwise all land in one task. `counts` may give the rows per
+    key as `_ln` where they are known already.
     """
-    heavy = heavy_keys(big, None, keys, slice_rows)
+    if counts is None:
+        heavy = heavy_keys(big, None, keys, slice_rows)
+    else:
+        heavy = heavy_keys(counts, None, keys, slice_rows, "_ln")
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     scattered = F.pmod(F.xxhash64(*spread), F.lit(MAX_SLICES)).cast("int")
     if heavy is None:
