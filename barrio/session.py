@@ -25,16 +25,21 @@ def build_session(app: str = "barrio", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     A cluster names it in `spark.checkpoint.dir`; only where that is unset (tests on one
-    machine) a fresh temporary folder is made and recorded for the rest of the session.
+    machine) a fresh temporary folder is made, once per application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN_FOLDERS:
+            _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="spark-")
+        folder = _OWN_FOLDERS[application]
     return folder.rstrip("/")
 
 
@@ -53,8 +58,3 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimiser's size estimate; guides physical layout only, never results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

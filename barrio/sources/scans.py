@@ -64,7 +64,7 @@ def _csv(spark: SparkSession, path: str, columns: list[str] | None, sep: str, mu
         quote='"', escape='"', nullValue="", emptyValue="", ignoreLeadingWhiteSpace=trim,
         ignoreTrailingWhiteSpace=trim,
     )
-    df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
     if columns is None:
         return df
     present = set(df.columns)
