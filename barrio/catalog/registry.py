@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barrio.fixtures import ORACLE_PARTS, oracle_text, projection, table
 from barrio.plans.snapshot import STORE_COLUMNS, as_stores
-from barrio.session import new_path
+from barrio.session import exists, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -49,7 +49,7 @@ def stored_places(spark: SparkSession, folder: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, folder)
     columns = [c for c in STORE_COLUMNS if c != "source_name"] + ["source_name"]
-    if key not in _STORED:
+    if key not in _STORED or not exists(spark, _STORED[key]):
         path = new_path(spark, "stores")
         rows = stores_table(projection(spark, folder, "fx_places")).select(*columns)
         rows.repartition(F.col("id")).write.partitionBy("source_name").parquet(path)

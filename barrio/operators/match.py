@@ -167,8 +167,9 @@ def one_to_one(sites: DataFrame) -> DataFrame:
 
 
 def accepted_matches(stores: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """The whole matching chain over a stores table."""
-    return one_to_one(qualified_sites(active_osm(stores), usable_censo(stores), slice_rows))
+    """The whole matching chain over a stores table, written once for its several consumers."""
+    sites = qualified_sites(active_osm(stores), usable_censo(stores), slice_rows)
+    return materialise(one_to_one(sites), "matches")
 
 
 def pair_counts(osm: DataFrame, censo: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:

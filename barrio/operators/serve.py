@@ -9,7 +9,7 @@ from barrio.functions.classify import lookup
 from barrio.functions.geo import lat_step, lng_step
 from barrio.operators.gridjoin import in_boxes, with_cell, with_reach, within_distance
 from barrio.operators.hours import with_open_now
-from barrio.operators.skew import SLICE_ROWS
+from barrio.operators.skew import SLICE_ROWS, sliced_join
 from barrio.session import materialise
 
 # Nearest rows considered before the open-now filter.
@@ -180,7 +180,7 @@ def shrunk_radius(
     dy = far(F.col("lat"), F.col("_gy") * step, step) * metre
     flattest = F.least(F.abs("lat"), F.abs(F.col("_gy") * step), F.abs((F.col("_gy") + 1) * step))
     dx = far(F.col("lng"), F.col("_gx") * width, width) * metre * F.cos(F.radians(flattest))
-    bounded = cells.join(counts, ["_gy", "_gx"]).select(
+    bounded = sliced_join(cells, counts, ["_gy", "_gx"], ["query_id"], ["_gy"]).select(
         "query_id", "_n", F.sqrt(dy * dy + dx * dx).alias("_far")
     )
     grown = Window.partitionBy("query_id").orderBy("_far").rangeBetween(Window.unboundedPreceding, 0)

@@ -1,8 +1,11 @@
 """Equi-joins that stay even when one key holds a large share of the rows.
 
-Before a join, a map-side combined count finds the heavy keys. There usually are none, and the
-join is then an ordinary one that Spark plans and adapts by itself. Rows of a heavy key are cut
-into slices, and the matching rows of the other side are copied to each slice.
+Before a join, a map-side combined count finds the heavy keys and the true row counts of both
+sides. There usually are no heavy keys, and the join is then an ordinary one. Rows of a heavy key
+are cut into slices, and the matching rows of the other side are copied to each slice.
+
+The optimiser cannot see how many rows an exploded side will have, so a side is sent to all
+executors only when its counted rows are few; otherwise the join shuffles both.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # A key with more rows than this is sliced.
@@ -19,30 +22,48 @@ SLICE_ROWS = 20_000
 # outside it holds less than 1/MAX_HEAVY_KEYS of the rows.
 MAX_HEAVY_KEYS = 2_000
 MAX_SLICES = 4_096
+# A side of at most this many counted rows may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def heavy_keys(
     left: DataFrame, right: DataFrame | None, keys: list[str], slice_rows: int = SLICE_ROWS,
     counted: str | None = None,
-) -> DataFrame | None:
-    """Slice counts (_ls, _rs) of the heaviest keys, at most MAX_HEAVY_KEYS rows; None if none.
+) -> tuple[DataFrame | None, int, int]:
+    """Slice counts (_ls, _rs) of the heaviest keys, or None; and the rows of both sides.
 
-    Runs one aggregation over the key columns only. `counted` names a column of `left` that
-    already holds row counts.
+    Runs one aggregation over the key columns only; at most MAX_HEAVY_KEYS rows come back.
+    `counted` names a column of `left` that already holds row counts.
     """
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     rows = left.select(*keys, (F.col(counted) if counted else one).alias("_ln"), zero.alias("_rn"))
     if right is not None:
         rows = rows.unionAll(right.select(*keys, zero, one))
+    totals = Observation()
+    per_key = (
+        rows.dropna(subset=keys)
+        .observe(totals, F.sum("_ln").alias("left"), F.sum("_rn").alias("right"))
+        .groupBy(*keys).agg(F.sum("_ln").alias("_ln"), F.sum("_rn").alias("_rn"))
+    )
     slices = lambda n: F.least(F.ceil(F.col(n) / F.lit(slice_rows)), F.lit(MAX_SLICES))
+    at_least_one = lambda n, s: F.greatest(slices(n), F.lit(1)).cast("int").alias(s)
     listed = (
-        rows.dropna(subset=keys).groupBy(*keys).agg(F.sum("_ln").alias("_ln"), F.sum("_rn").alias("_rn"))
-        .where((F.col("_ln") > slice_rows) | (F.col("_rn") > slice_rows))
+        per_key.where((F.col("_ln") > slice_rows) | (F.col("_rn") > slice_rows))
         .orderBy(F.desc(F.greatest("_ln", "_rn"))).limit(MAX_HEAVY_KEYS)
-        .select(*keys, *[F.greatest(slices(n), F.lit(1)).cast("int").alias(s) for n, s in (("_ln", "_ls"), ("_rn", "_rs"))])
+        .select(*keys, at_least_one("_ln", "_ls"), at_least_one("_rn", "_rs"))
     )
     table = listed.toArrow()
-    return left.sparkSession.createDataFrame(table, listed.schema) if table.num_rows else None
+    heavy = left.sparkSession.createDataFrame(table, listed.schema) if table.num_rows else None
+    return heavy, totals.get["left"] or 0, totals.get["right"] or 0
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], n_left: int, n_right: int) -> DataFrame:
+    """Inner join that broadcasts a side only if its counted rows are few."""
+    if n_right <= min(n_left, BROADCAST_ROWS):
+        return left.join(F.broadcast(right), keys)
+    if n_left <= BROADCAST_ROWS:
+        return F.broadcast(left).join(right, keys)
+    return left.hint("merge").join(right, keys)
 
 
 def _slice(spread_by: list[str], slices: str) -> Column:
@@ -67,9 +88,9 @@ def sliced_join(
     Every left row meets every right row of its key exactly once: a left row sits in one
     left slice and is copied to all right slices, and the other way round.
     """
-    heavy = heavy_keys(left, right, keys, slice_rows)
+    heavy, n_left, n_right = heavy_keys(left, right, keys, slice_rows)
     if heavy is None:
-        out = left.join(right, keys)
+        out = _joined(left, right, keys, n_left, n_right)
         return out if condition is None else out.where(condition)
     heavy = F.broadcast(heavy)
     a = left.join(heavy, keys, "left").select(
@@ -78,7 +99,7 @@ def sliced_join(
     b = right.join(heavy, keys, "left").select(
         *right.columns, _slice(right_spread, "_rs").alias("_r"), _copies("_ls").alias("_l")
     )
-    out = a.join(b, [*keys, "_l", "_r"])
+    out = a.hint("merge").join(b, [*keys, "_l", "_r"])
     if condition is not None:
         out = out.where(condition)
     return out.drop("_l", "_r")
@@ -100,9 +121,9 @@ def sliced_lookup(
     key as `_ln` where they are known already.
     """
     if counts is None:
-        heavy = heavy_keys(big, None, keys, slice_rows)
+        heavy, _, _ = heavy_keys(big, None, keys, slice_rows)
     else:
-        heavy = heavy_keys(counts, None, keys, slice_rows, "_ln")
+        heavy, _, _ = heavy_keys(counts, None, keys, slice_rows, "_ln")
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     scattered = F.pmod(F.xxhash64(*spread), F.lit(MAX_SLICES)).cast("int")
     if heavy is None:
@@ -113,4 +134,4 @@ def sliced_lookup(
         *big.columns, F.when(no_key, scattered).otherwise(_slice(spread, "_ls")).alias("_l")
     )
     b = small.join(heavy, keys, "left").select(*small.columns, _copies("_ls").alias("_l"))
-    return a.join(b, [*keys, "_l"], how).drop("_l")
+    return a.hint("merge").join(b, [*keys, "_l"], how).drop("_l")

@@ -10,6 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from barrio.catalog import QUERIES, load  # noqa: E402
+from barrio.catalog.registry import stored_places  # noqa: E402
 from barrio.session import build_session  # noqa: E402
 
 HEADLINE = [
@@ -31,6 +32,10 @@ def main() -> None:
     load()
     spark.range(1000).selectExpr("sum(id)").collect()
     times = {}
+    # The stores table is written once, as an ingest does; its cost is reported on its own.
+    start = time.time()
+    stored_places(spark, folder)
+    times["load_places"] = round(time.time() - start, 3)
     for name in HEADLINE:
         start = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
