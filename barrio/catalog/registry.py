@@ -52,7 +52,9 @@ def stored_places(spark: SparkSession, folder: str) -> DataFrame:
     if key not in _STORED or not exists(spark, _STORED[key]):
         path = new_path(spark, "stores")
         rows = stores_table(projection(spark, folder, "fx_places")).select(*columns)
-        rows.repartition(F.col("id")).write.partitionBy("source_name").parquet(path)
+        # A set number of parts: the adaptive planner would merge them into few large files.
+        parts = spark.sparkContext.defaultParallelism
+        rows.repartition(parts, F.col("id")).write.partitionBy("source_name").parquet(path)
         _STORED[key] = path
     schema = ", ".join(f"{c} {STORE_COLUMNS[c]}" for c in columns)
     return spark.read.schema(schema).parquet(_STORED[key])
