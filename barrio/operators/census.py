@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,8 +92,3 @@ def source_profile(rows: DataFrame, declared: list[str]) -> DataFrame:
 def sample_rows(rows: DataFrame, n: int = 5) -> DataFrame:
     """Some raw rows to look at."""
     return rows.limit(n)
-
-
-def assert_values(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
-    """Rows of `column` outside a closed vocabulary."""
-    return df.where(~reduce(or_, [F.col(column) == v for v in allowed]))

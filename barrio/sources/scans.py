@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barrio.functions.fields import osm_address, website_url
 from barrio.functions.geo import geometry_mean_point
-from barrio.functions.text import js_trim, match_name
+from barrio.functions.text import match_name
 
 # Columns of the Madrid activities file.
 MADRID_COLUMNS = [
@@ -193,8 +193,3 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract("path", "([^/]+)$", 1).alias("file"),
         F.sha2("content", 256).alias("file_hash"), F.col("length").alias("size_bytes"),
     )
-
-
-def trimmed(df: DataFrame) -> DataFrame:
-    """All text columns trimmed."""
-    return df.select(*[js_trim(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
