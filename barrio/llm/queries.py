@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrio.llm import bpe, exact, lines, minhash, mixing, rules, shards, tokens
+from barrio.llm import bpe, exact, lines, minhash, mixing, rules, shards, suffixes, tokens
 from barrio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,13 @@ def op3(docs: DataFrame) -> DataFrame:
     return rules.quality(docs)
 
 
+@query("op4_repeated_passages")
+def op4(docs: DataFrame) -> DataFrame:
+    return suffixes.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 MIXING_SQL = rf"""
 with d as (
     select row_number() over () as r, doc_id, source,
