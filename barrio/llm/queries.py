@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrio.llm import bpe, exact, lines, minhash, mixing, rules, shards, suffixes, tokens
+from barrio.llm import bpe, exact, language, lines, minhash, mixing, rules, shards, suffixes, tokens
 from barrio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +143,11 @@ def op5(docs: DataFrame) -> DataFrame:
     return mixing.mixture(docs)
 
 
+@query("op6_language_id")
+def op6(docs: DataFrame) -> DataFrame:
+    return language.identify(docs)
+
+
 @query("op7_near_duplicates")
 def op7(docs: DataFrame) -> DataFrame:
     return minhash.near_classes(docs)
