@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barrio.llm.common import content_key, packed, unpacked
+from barrio.session import materialise
 
 RATIO = 0.1
 LEAST_PAGES = 10
@@ -55,8 +56,10 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
 
 def dedup_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """All columns of the documents as `row`, the `doc_id`, the cleaned `text`, lines and dropped lines."""
+    # Read back, the lists are shuffled for the join if they are not small, and the planner may split a hot host.
+    lists = materialise(boilerplate(docs, ratio, least_pages), "line-lists")
     marked = packed(docs).join(
-        boilerplate(docs, ratio, least_pages), F.col("source").eqNullSafe(F.col("b_host")), "left",
+        lists, F.col("source").eqNullSafe(F.col("b_host")), "left",
     )
     drop = lambda x: (F.trim(x) != "") & F.array_contains("hashes", F.xxhash64(normal_line(x)))
     lines = marked.withColumn("lines", F.split("text", "\n"))
