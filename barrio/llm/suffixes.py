@@ -45,7 +45,7 @@ SPAN = 200
 ANCHOR = 64
 CHOICES = SPAN - ANCHOR + 1
 #: Distinct contexts up to which the windows of a key are compared in a shard.
-MANY = 256
+MANY = 4096
 #: Small enough for the arrays of a block to stay in a processor's cache.
 BLOCK_BYTES = 256 << 10
 SHARD_BYTES = 1 << 20
