@@ -423,6 +423,8 @@ def _row_runs(docs: DataFrame, stored: DataFrame) -> DataFrame:
         _contexts, "doc_id bigint, crc bigint, start int, windows int, key bigint, digest bigint",
     )
     twice = seen.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select(F.col("key").alias("t_key"))
+    # Read back, both sides of the join are shuffled for it, and the planner may split a hot key.
+    twice = materialise(twice, "repeats-keys")
     shared = materialise(seen.join(twice, F.col("key") == F.col("t_key")).drop("t_key"), "repeats-contexts")
 
     one = F.min(F.struct("doc_id", "crc", "start", "windows")).alias("one")
