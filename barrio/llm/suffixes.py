@@ -48,7 +48,7 @@ CHOICES = SPAN - ANCHOR + 1
 MANY = 4096
 #: Small enough for the arrays of a block to stay in a processor's cache.
 BLOCK_BYTES = 256 << 10
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 512 << 10
 #: Bits for a position within a block; the others are for the hash.
 PLACE = np.uint64(28)
 
@@ -142,18 +142,25 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ranks(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Within equal symbols the running number of each; the distinct symbols and their counts."""
-    order = np.argsort(symbols, kind="stable")
+    order = symbols.argsort(kind="stable")
     ordered = symbols[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    counts = np.diff(np.concatenate([first, [len(ordered)]]))
+    new = np.empty(len(symbols), bool)
+    new[0] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    first = new.nonzero()[0]
+    counts = np.empty_like(first)
+    np.subtract(first[1:], first[:-1], out=counts[:-1])
+    counts[-1] = len(symbols) - first[-1]
     rank = np.empty(len(symbols), np.int64)
-    rank[order] = np.arange(len(symbols)) - np.repeat(first, counts)
+    rank[order] = np.arange(len(symbols)) - first.repeat(counts)
     return rank, ordered[first], counts
 
 
 def _induce(text: np.ndarray, smaller: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The array induced from leftmost-smaller suffixes `seeds`, which are in order within their first symbol."""
     n = len(text)
+    if len(bounds) <= 1 << 16:
+        text = text.astype(np.uint16)  # sorts faster
     starts, ends = bounds[:-1], bounds[1:]
     array = np.full(n, -1, np.int64)
     symbols = text[seeds]
@@ -165,22 +172,24 @@ def _induce(text: np.ndarray, smaller: np.ndarray, bounds: np.ndarray, seeds: np
     head, at, step = starts.copy(), 0, 1024
     while at < n:
         stretch = array[at:at + step]
-        good = np.flatnonzero(stretch > 0)
+        good = (stretch > 0).nonzero()[0]
         source = stretch[good] - 1
         larger = ~smaller[source]
         good, source = good[larger], source[larger]
         upto = min(at + step, n)
         if len(source):
-            rank, present, counts = _ranks(text[source])
-            to = head[text[source]] + rank
+            symbols = text[source]
+            rank, present, counts = _ranks(symbols)
+            to = head[symbols] + rank
             least = int(to.min())
             if least < upto:  # what lies behind may still change
                 upto = least
-                use = good < upto - at
-                source, to = source[use], to[use]
-                _, present, counts = _ranks(text[source])
+                use = int(good.searchsorted(upto - at))
+                source, to = source[:use], to[:use]
+                np.maximum.at(head, symbols[:use], to + 1)
+            else:
+                head[present] += counts
             array[to] = source
-            head[present] += counts
         step = min(max(64, 2 * (upto - at)), 1 << 16)
         at = upto
 
@@ -189,22 +198,24 @@ def _induce(text: np.ndarray, smaller: np.ndarray, bounds: np.ndarray, seeds: np
     while at > 0:
         low = max(0, at - step)
         stretch = array[low:at][::-1]
-        good = np.flatnonzero(stretch > 0)
+        good = (stretch > 0).nonzero()[0]
         source = stretch[good] - 1
         small = smaller[source]
         good, source = good[small], source[small]
         downto = low
         if len(source):
-            rank, present, counts = _ranks(text[source])
-            to = tail[text[source]] - 1 - rank
+            symbols = text[source]
+            rank, present, counts = _ranks(symbols)
+            to = tail[symbols] - 1 - rank
             most = int(to.max())
             if most >= low:
                 downto = most + 1
-                use = good < at - downto
-                source, to = source[use], to[use]
-                _, present, counts = _ranks(text[source])
+                use = int(good.searchsorted(at - downto))
+                source, to = source[:use], to[:use]
+                np.minimum.at(tail, symbols[:use], to)
+            else:
+                tail[present] -= counts
             array[to] = source
-            tail[present] -= counts
         step = min(max(64, 2 * (at - downto)), 1 << 16)
         at = downto
     return array
