@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barrio.llm.common import blocks, content_key, texts
@@ -146,58 +146,67 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_signed, "doc_id bigint, digest binary, keys array<bigint>")
 
 
+def with_band(key: Column, band: Column) -> Column:
+    """A bucket's key with the number of its band in the low bits."""
+    return key.bitwiseAND(F.lit(~31).cast("bigint")).bitwiseOR(band.cast("bigint"))
+
+
 def _deal(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of the buckets of (band, key, id, keys), and the items of larger buckets."""
-    buckets = items.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where(F.col("n") > 1)
-    buckets = buckets.select(F.col("band").alias("b_band"), F.col("key").alias("b_key"), "n", "least")
-    same = (F.col("band") == F.col("b_band")) & (F.col("key") == F.col("b_key"))
+    """Candidate pairs of the buckets of (key, id), and the items of larger buckets."""
+    buckets = items.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where(F.col("n") > 1)
+    # Read back, both sides of the joins are shuffled for them, and the planner may split a hot key.
+    buckets = materialise(buckets.select(F.col("key").alias("b_key"), "n", "least"), "near-buckets")
+    same = F.col("key") == F.col("b_key")
     few = items.join(buckets.where(F.col("n") <= SMALL), same)
-    small = few.groupBy("band", "key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    small = few.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     later = F.flatten(F.transform(
         "ids", lambda a, i: F.transform(
             F.slice("ids", i + 2, SMALL), lambda b: F.struct(a.alias("a"), b.alias("b")),
         ),
     ))
     pairs = small.select(F.explode(later).alias("p")).select("p.a", "p.b")
-    # A join by itself, so that the planner can split a bucket that holds much of the data.
     large = items.join(buckets.where(F.col("n") > SMALL), same)
     stars = large.where(F.col("id") != F.col("least")).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    return pairs.unionByName(stars), large
+    return pairs.unionByName(stars), large.select("key", "id")
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """Distinct pairs a < b that share a bucket, as the module text says."""
-    items = keys.select("id", "keys", F.posexplode("keys").alias("band", "key")).select(
-        "band", "key", "id", F.slice(F.concat("keys", "keys"), F.col("band") + 2, DEALS - 1).alias("next"),
+def candidates(texts: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of (id, keys) that share a bucket, as the module text says."""
+    items = texts.select("id", F.posexplode("keys").alias("band", "at")).select(
+        with_band(F.col("at"), F.col("band")).alias("key"), "id",
     )
     pairs = None
-    for deal in range(DEALS):
-        found, items = _deal(items)
+    for deal in range(1, DEALS + 1):
+        found, large = _deal(items)
         pairs = found if pairs is None else pairs.unionByName(found)
-        if deal + 1 < DEALS:
-            items = materialise(
-                items.select("band", F.xxhash64("key", F.col("next")[deal]).alias("key"), "id", "next"), f"near-deal-{deal}",
+        if deal < DEALS:
+            band = F.col("key").bitwiseAND(F.lit(31).cast("bigint"))
+            again = large.join(texts.select(F.col("id").alias("t_id"), "keys"), F.col("id") == F.col("t_id")).select(
+                with_band(F.xxhash64("key", F.get("keys", (band + deal) % BANDS)), band).alias("key"), "id",
             )
+            items = materialise(again, f"near-deal-{deal}")
     return pairs.distinct()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    remembered: dict[int, np.ndarray] = {}
+    remembered: dict[tuple[int, str], np.ndarray] = {}
 
     def distinct(i: int, text: str) -> np.ndarray:
-        if i not in remembered:
-            if len(remembered) > 2_000:
+        if (i, text) not in remembered:
+            if len(remembered) > 500:
                 remembered.clear()
-            remembered[i] = np.unique(shingles(text))
-        return remembered[i]
+            remembered[i, text] = np.unique(shingles(text))
+        return remembered[i, text]
 
     for block in blocks(batches, BLOCK_BYTES):
         a, b = block.column(0).to_pylist(), block.column(1).to_pylist()
         similar = []
         for i, j, s, t in zip(a, b, texts(block.column(2)), texts(block.column(3))):
             x, y = distinct(i, s), distinct(j, t)
-            common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)) else 0
-            similar.append(common >= SIMILAR * (len(x) + len(y) - common) and common > 0)
+            common = 0
+            if min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+            similar.append(common > 0 and common >= SIMILAR * (len(x) + len(y) - common))
         yield pa.RecordBatch.from_arrays(block.columns[:2], ["a", "b"]).filter(pa.array(similar))
 
 
@@ -205,8 +214,10 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts have the similarity asked for."""
     pairs = materialise(pairs, "near-pairs")
     wanted = pairs.select(F.col("a").alias("w_id")).unionByName(pairs.select(F.col("b").alias("w_id"))).distinct()
-    # Only the texts of candidates go on.
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted, F.col("id") == F.col("w_id"))
+    # Only the texts of candidates go on. The ids grow with the data, hence a merge at every size.
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(
+        wanted.hint("merge"), F.col("id") == F.col("w_id"),
+    )
     chosen = materialise(chosen.select("id", "text"), "near-texts")
     one = chosen.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = chosen.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
