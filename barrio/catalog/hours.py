@@ -120,7 +120,7 @@ def _(d: Data):
     h, _ = hours.effective_hours(F.col("opening_hours_osm"), F.col("opening_hours_web"), F.col("place_type"))
     week = hours.minute_of_week(F.col("at_time")).alias("week")
     rows = _instant_pairs(d).select("query_id", week, "id", h.alias("hours"))
-    rows = hours.attach_schedules(rows, "hours", ["query_id", "id"])
+    rows = hours.attach_schedules(rows, "hours")
     is_open, closes = hours.open_state(F.col("open_spans"), F.col("week"))
     return rows.select("query_id", "id", is_open.alias("is_open"), closes.alias("closes_at"))
 
@@ -142,7 +142,7 @@ def _(d: Data):
     "from (select query_id, id, is_open as o, closes_at, place_type as p, sells_takeaway_beer as take, hours_source as src, day_min >= 1320 or day_min < 540 as ban from (@instant_states))",
 )
 def _(d: Data):
-    return hours.with_open_now(_instant_pairs(d), "at_time", ["query_id", "id"]).select("query_id", "id", "open_now.*")
+    return hours.with_open_now(_instant_pairs(d), "at_time").select("query_id", "id", "open_now.*")
 
 
 # The JSON-LD statements of the five page kinds; the pages' own markup holds none.
@@ -207,7 +207,7 @@ def _(d: Data):
 )
 def _(d: Data):
     rows = d.stores.where("opening_hours_osm is not null").select("id", F.col("opening_hours_osm").alias("hours"))
-    return hours.split_valid_hours(rows, "hours", ["id"]).select("id", "hours", "valid")
+    return hours.split_valid_hours(rows, "hours").select("id", "hours", "valid")
 
 
 @query(

@@ -240,12 +240,12 @@ from (select *, asin(sin(xi)/cosh(eta)) as chi from (select id_local, n,
     "select id_local, round(lng, 6) as lng, round(lat, 6) as lat from ("
     + sql_utm(
         "select distinct id_local, try_cast(coordenada_x_local as double) as x, cast(coordenada_y_local as double) as y "
-        "from (@fx_madrid_rows) where coordenada_x_local <> 'N/D'"
+        "from (@fx_madrid_rows)"
     )
     + ")",
 )
 def _(d: Data):
-    rows = d.fx_madrid_rows.where("coordenada_x_local <> 'N/D'").select(
+    rows = d.fx_madrid_rows.select(
         "id_local", F.col("coordenada_x_local").try_cast("double").alias("x"),
         F.col("coordenada_y_local").try_cast("double").alias("y"),
     ).distinct()

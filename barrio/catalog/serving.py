@@ -11,7 +11,6 @@ from barrio.operators import crawl, serve
 from barrio.operators.census import madrid_candidates
 
 RADIUS = 5000.0
-K = 200
 
 part("served_osm", "select * from (@effective) where is_published and confidence_level <> 'excluded'")
 part(
@@ -21,7 +20,7 @@ part(
 )
 part(
     "nearest",
-    "select * from (select *, row_number() over (partition by query_id order by distance_m, id) as position from (@in_radius)) where position <= 200",
+    "select * from (select *, row_number() over (partition by query_id order by distance_m, id) as position from (@in_radius))",
 )
 
 

@@ -62,7 +62,7 @@ select page_id, url, concat(html, '<script type="application/ld+json">', case pa
 
 PROJECTIONS["fx_query_points"] = """
 select event_id as query_id, 40e0 + ((p*7919)%7000)/1e4 + 5/111320e0 as lat, -42e-1 + ((p*104729)%12000)/1e4 as lng, ts as at_time
- from (select *, event_id%7500 as p from @events where event_id%50=0)
+ from (select *, event_id%7500 as p from @events)
 """
 
 PROJECTIONS["fx_viewports"] = """
@@ -96,7 +96,7 @@ select 167772160+cast(n_nationkey as bigint)*10 as lo, 167772160+cast(n_nationke
 """
 
 PROJECTIONS["fx_import_runs"] = """
-select o_orderkey as id, split_part('osm,censo_madrid,censo_barcelona,censo_diba,censo_andalucia', ',', cast(o_custkey%5+1 as int)) as source_name, case when o_orderkey%900=0 then 'failed' else 'succeeded' end as status, md5(cast(o_custkey%7 as string)) as file_hash, o_orderdate as started_at from @orders where o_orderkey%100=0
+select o_orderkey as id, split_part('osm,censo_madrid,censo_barcelona,censo_diba,censo_andalucia', ',', cast(o_custkey%5+1 as int)) as source_name, case when o_orderkey%900=0 then 'failed' else 'succeeded' end as status, md5(cast(o_custkey%7 as string)) as file_hash, o_orderdate as started_at from @orders
 """
 
 # The stored table of places: canonical rows, hidden evidence rows and some fixture rows, with

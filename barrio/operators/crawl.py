@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barrio.functions.fields import url_host, url_origin, url_path
 from barrio.operators.serve import served, top_k
-from barrio.operators.skew import SLICE_ROWS, sliced_join
+from barrio.operators.keyed import keyed_join
 
 MAX_STORES_PER_URL = 3
 MAX_AGE_DAYS = 90
@@ -76,15 +76,15 @@ def applicable_rules(sections: DataFrame, bot: str) -> DataFrame:
     return sections.where(applies).select("origin", "disallow").distinct()
 
 
-def robots_verdict(urls: DataFrame, rules: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def robots_verdict(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct links with `allowed`; an origin without rules allows everything."""
     links = urls.select("url").distinct().withColumn("origin", url_origin(F.col("url"))).withColumn(
         "path", url_path(F.col("url"))
     )
     blocked = (
-        sliced_join(
-            links, rules, ["origin"], ["url"], ["disallow"],
-            F.col("path").startswith(F.col("disallow")), slice_rows,
+        keyed_join(
+            links, rules, ["origin"],
+            F.col("path").startswith(F.col("disallow")),
         )
         .select("url").distinct().withColumn("_blocked", F.lit(True))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barrio.functions.geo import distance_m, lat_step, lng_step
-from barrio.operators.skew import SLICE_ROWS, sliced_join
+from barrio.operators.keyed import keyed_join
 
 KEYS = ["_gy", "_gx"]
 
@@ -42,11 +42,8 @@ def within_distance(
     centres: DataFrame,
     radius: Column,
     cell_m: float,
-    place_spread: list[str],
-    centre_spread: list[str],
     on: list[str] | None = None,
     condition: Column | None = None,
-    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Pairs no farther apart than `radius` metres, with `distance_m`.
 
@@ -54,14 +51,11 @@ def within_distance(
     cells. `on` adds equality keys. Cells or keys that hold many rows are cut into slices.
     """
     keys = [*KEYS, *(on or [])]
-    pairs = sliced_join(
+    pairs = keyed_join(
         with_cell(places, cell_m),
         with_reach(centres, cell_m, radius, "c_lat", "c_lng"),
         keys,
-        place_spread,
-        centre_spread,
         condition,
-        slice_rows,
     )
     away = distance_m(F.col("c_lat"), F.col("c_lng"), F.col("lat"), F.col("lng"))
     return (
@@ -70,38 +64,37 @@ def within_distance(
     )
 
 
+# Tiles of 2^-12 degrees are some 27 m wide; 2^9 degrees hold every box on the globe.
+LEAST_LEVEL, MOST_LEVEL = -12, 9
+
+
 def level_of(north: Column, south: Column, east: Column, west: Column) -> Column:
     """Tile level of a box: tiles of 2^level degrees are at least as large as the box."""
-    extent = F.greatest(north - south, east - west, F.lit(2.0**-12))
+    extent = F.least(F.greatest(north - south, east - west, F.lit(2.0**LEAST_LEVEL)), F.lit(2.0**MOST_LEVEL))
     return F.ceil(F.log2(extent)).cast("int")
 
 
 def in_boxes(
     places: DataFrame,
     boxes: DataFrame,
-    place_spread: list[str],
-    box_spread: list[str],
-    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Pairs of places and boxes (north, south, east, west) that contain them.
 
     Each box takes the tile level that fits its size, so it touches at most four tiles, and
-    places are keyed once per level in use (at most 22 levels exist).
+    places are keyed once per level. Levels run from LEAST_LEVEL to that of the whole globe.
     """
     sized = boxes.select("*", level_of(*map(F.col, ("north", "south", "east", "west"))).alias("_level"))
-    levels = sized.select("_level").distinct()
-    used = sorted(r[0] for r in levels.limit(64).collect() if r[0] is not None)
     tile = F.pow(F.lit(2.0), F.col("_level").cast("double"))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile))
     tiled = sized.select("*", F.explode(span("south", "north")).alias("_ty"))
     tiled = tiled.select("*", F.explode(span("west", "east")).alias("_tx"))
-    keyed = places.select("*", F.explode(F.array(*[F.lit(v) for v in used or [0]])).alias("_level"))
+    keyed = places.select("*", F.explode(F.array(*[F.lit(v) for v in range(LEAST_LEVEL, MOST_LEVEL + 1)])).alias("_level"))
     keyed = keyed.select(
         "*", F.floor(F.col("lat") / tile).alias("_ty"), F.floor(F.col("lng") / tile).alias("_tx")
     )
     inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lng").between(
         F.col("west"), F.col("east")
     )
-    return sliced_join(
-        keyed, tiled, ["_level", "_ty", "_tx"], place_spread, box_spread, inside, slice_rows
+    return keyed_join(
+        keyed, tiled, ["_level", "_ty", "_tx"], inside
     ).drop("_level", "_ty", "_tx")

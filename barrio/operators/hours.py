@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from barrio.functions.classify import lookup
 from barrio.functions.text import js_trim
-from barrio.operators.skew import SLICE_ROWS, sliced_lookup
 from barrio.session import materialise
 
 ZONE = "Europe/Madrid"
@@ -238,19 +237,15 @@ def clock_text(minute: Column) -> Column:
     return F.concat(two(F.floor(of_day / 60)), F.lit(":"), two(of_day % 60))
 
 
-def attach_schedules(df: DataFrame, column: str, spread: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+def attach_schedules(df: DataFrame, column: str) -> DataFrame:
     """Add the compiled `open_spans` of a schedule column.
 
-    One aggregation lists the distinct texts with their row counts; each text is compiled once
-    and written, so that the join to it is planned on true sizes. A schedule shared by very many
-    rows is sliced where the table is too large to send around.
+    Each distinct text is compiled once.
     """
-    used = materialise(
-        df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_ln")), "schedules"
-    )
-    compiled = materialise(compile_schedules(used.select(F.col(column).alias("schedule"))), "compiled")
+    used = df.where(F.col(column).isNotNull()).select(F.col(column).alias("schedule")).distinct()
+    compiled = compile_schedules(used)
     lookup_table = compiled.select(F.col("schedule").alias(column), "open_spans")
-    return sliced_lookup(df, lookup_table, [column], spread, "left", slice_rows, used)
+    return df.join(lookup_table, column, "left")
 
 
 def open_state(open_spans: Column, week_minute: Column) -> tuple[Column, Column]:
@@ -295,7 +290,7 @@ def verdict(place_type: Column, takeaway: Column, source: Column, is_open: Colum
     )
 
 
-def with_open_now(df: DataFrame, instant: str, spread: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+def with_open_now(df: DataFrame, instant: str) -> DataFrame:
     """Add the `open_now` struct to rows of places at instants.
 
     Needs place_type, sells_takeaway_beer, opening_hours_osm and opening_hours_web.
@@ -306,7 +301,7 @@ def with_open_now(df: DataFrame, instant: str, spread: list[str], slice_rows: in
     rows = df.select(
         "*", hours.alias("_hours"), source.alias("_source"), minute_of_week(F.col(instant)).alias("_week")
     )
-    rows = attach_schedules(rows, "_hours", spread, slice_rows)
+    rows = attach_schedules(rows, "_hours")
     is_open, closes_at = open_state(F.col("open_spans"), F.col("_week"))
     # The state leaves through a generator, so that a later filter on it is not folded back into
     # a second search of the spans.
@@ -322,11 +317,11 @@ def with_open_now(df: DataFrame, instant: str, spread: list[str], slice_rows: in
 # --- validity and crawl results -----------------------------------------------
 
 
-def split_valid_hours(df: DataFrame, column: str, spread: list[str]) -> DataFrame:
+def split_valid_hours(df: DataFrame, column: str) -> DataFrame:
     """Add `valid`: the hours text is one that compiles."""
     compiled = compile_schedules(df.select(F.col(column).alias("schedule")))
     known = compiled.select(F.col("schedule").alias(column), F.col("parsed").alias("valid"))
-    out = sliced_lookup(df, known, [column], spread, "left")
+    out = df.join(known, column, "left")
     return out.withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from barrio.functions.classify import type_class, types_compatible
 from barrio.functions.text import GENERIC_TOKENS, dice_tokens, is_generic_name, tokens
 from barrio.operators.gridjoin import within_distance
-from barrio.operators.skew import SLICE_ROWS
 from barrio.session import materialise
 
 RADIUS_M = 30.0
@@ -46,7 +45,7 @@ def _as_centres(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def candidate_pairs(
-    osm: DataFrame, censo: DataFrame, radius_m: float = RADIUS_M, slice_rows: int = SLICE_ROWS
+    osm: DataFrame, censo: DataFrame, radius_m: float = RADIUS_M
 ) -> DataFrame:
     """Every canonical/register pair within the radius, with its distance."""
     places = osm.select(
@@ -58,7 +57,7 @@ def candidate_pairs(
         censo_name="normalized_name", censo_type="place_type",
     )
     return within_distance(
-        places, centres, F.lit(radius_m), radius_m, ["osm_id"], ["censo_id"], slice_rows=slice_rows
+        places, centres, F.lit(radius_m), radius_m
     ).drop("lat", "lng", "c_lat", "c_lng")
 
 
@@ -117,7 +116,7 @@ def _named_sites(df: DataFrame, prefix: str) -> DataFrame:
     return sites.select("*", F.explode(f"_{prefix}_words").alias("_word"))
 
 
-def qualified_sites(osm: DataFrame, censo: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def qualified_sites(osm: DataFrame, censo: DataFrame) -> DataFrame:
     """Site pairs with name evidence, without listing every pair of a dense area.
 
     Pairs meet on cell, type class and a shared signature word, so only plausible names are
@@ -130,8 +129,8 @@ def qualified_sites(osm: DataFrame, censo: DataFrame, slice_rows: int = SLICE_RO
     )
     first_shared = F.col("_word") == F.array_min(F.array_intersect("_osm_words", "_censo_words"))
     pairs = within_distance(
-        a, b, F.lit(RADIUS_M), RADIUS_M, ["osm_key"], ["censo_key"], ["_class", "_word"],
-        first_shared, slice_rows,
+        a, b, F.lit(RADIUS_M), RADIUS_M, ["_class", "_word"],
+        first_shared,
     )
     inner = ["_class", "_word", "_osm_words", "_censo_words", "lat", "lng", "c_lat", "c_lng"]
     return materialise(evaluate_pairs(pairs.drop(*inner)), "qualified-sites")
@@ -166,13 +165,13 @@ def one_to_one(sites: DataFrame) -> DataFrame:
     )
 
 
-def accepted_matches(stores: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def accepted_matches(stores: DataFrame) -> DataFrame:
     """The whole matching chain over a stores table, written once for its several consumers."""
-    sites = qualified_sites(active_osm(stores), usable_censo(stores), slice_rows)
+    sites = qualified_sites(active_osm(stores), usable_censo(stores))
     return materialise(one_to_one(sites), "matches")
 
 
-def pair_counts(osm: DataFrame, censo: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def pair_counts(osm: DataFrame, censo: DataFrame) -> DataFrame:
     """Candidate totals from distinct positions: pairs, places and register rows with any."""
     spots = lambda df, n, key: df.groupBy("lat", "lng").agg(
         F.count(F.lit(1)).alias(n), F.min("id").alias(key)
@@ -180,7 +179,7 @@ def pair_counts(osm: DataFrame, censo: DataFrame, slice_rows: int = SLICE_ROWS)
     near = within_distance(
         spots(osm, "o_n", "o"),
         spots(censo, "c_n", "c").withColumnsRenamed({"lat": "c_lat", "lng": "c_lng"}),
-        F.lit(RADIUS_M), RADIUS_M, ["o"], ["c"], slice_rows=slice_rows,
+        F.lit(RADIUS_M), RADIUS_M,
     )
     per_spot = near.groupingSets([[F.col("o")], [F.col("c")]], F.col("o"), F.col("c")).agg(
         F.sum(F.col("o_n") * F.col("c_n")).alias("pairs"),
@@ -195,10 +194,10 @@ def pair_counts(osm: DataFrame, censo: DataFrame, slice_rows: int = SLICE_ROWS)
     )
 
 
-def match_audit(stores: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def match_audit(stores: DataFrame) -> DataFrame:
     """Matching figures as (metric, value) rows, split by source and by method as well."""
     osm, censo = active_osm(stores), usable_censo(stores)
-    sites = qualified_sites(osm, censo, slice_rows)
+    sites = qualified_sites(osm, censo)
     rows_of = lambda side, other: (
         sites.groupBy(f"{side}_key", f"{side}_rows")
         .agg(F.sum(f"{other}_rows").alias("_d"))
@@ -227,7 +226,7 @@ def match_audit(stores: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     )
     out = split
     for one in (
-        pair_counts(osm, censo, slice_rows), qualified, rows_of("osm", "censo"),
+        pair_counts(osm, censo), qualified, rows_of("osm", "censo"),
         rows_of("censo", "osm"), badges,
     ):
         out = out.unionByName(
@@ -268,7 +267,7 @@ def nearest_register_row(osm: DataFrame, censo: DataFrame, radius_m: float = RAD
     """The nearest register row of each place within the radius; the lower id wins ties."""
     places = osm.select(F.col("id").alias("osm_id"), F.col("place_type").alias("osm_type"), "lat", "lng")
     near = within_distance(
-        places, _register_spots(censo), F.lit(radius_m), radius_m, ["osm_id"], ["censo_id"]
+        places, _register_spots(censo), F.lit(radius_m), radius_m
     )
     best = F.min(F.struct("distance_m", "censo_id", "censo_type")).alias("b")
     return near.groupBy("osm_id", "osm_type").agg(best).select("osm_id", "osm_type", "b.*")
@@ -297,7 +296,7 @@ def overlap_by_source(osm: DataFrame, censo: DataFrame, radius_m: float = RADIUS
     spots = censo.groupBy("source_name", F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng")).agg(
         F.count(F.lit(1)).alias("c_n"), F.min("id").alias("c")
     )
-    near = within_distance(places, spots, F.lit(radius_m), radius_m, ["osm_id"], ["c"])
+    near = within_distance(places, spots, F.lit(radius_m), radius_m)
     per_spot = near.groupBy("source_name", "c").agg(F.max("c_n").alias("c_n"))
     return per_spot.groupBy("source_name").agg(F.sum("c_n").alias("overlap_candidates"))
 
@@ -318,7 +317,7 @@ def distance_bands(osm: DataFrame, censo: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("c_n"), F.min("id").alias("c")
     )
     near = within_distance(
-        places, spots.select("c", "c_lat", "c_lng"), F.lit(250.0), 250.0, ["osm_id"], ["c"]
+        places, spots.select("c", "c_lat", "c_lng"), F.lit(250.0), 250.0
     )
     nearest = near.groupBy("c").agg(F.min("distance_m").alias("d"))
     d = F.col("d")

@@ -9,11 +9,9 @@ from barrio.functions.classify import lookup
 from barrio.functions.geo import lat_step, lng_step
 from barrio.operators.gridjoin import in_boxes, with_cell, with_reach, within_distance
 from barrio.operators.hours import with_open_now
-from barrio.operators.skew import SLICE_ROWS, sliced_join
+from barrio.operators.keyed import keyed_join
 from barrio.session import materialise
 
-# Nearest rows considered before the open-now filter.
-OPEN_NOW_FETCH = 200
 # Above this Spark no longer trims a ranked window before its shuffle.
 WINDOW_TRIM_LIMIT = 1000
 
@@ -152,12 +150,12 @@ def with_evidence(rows: DataFrame, stores: DataFrame, key: str = "id") -> DataFr
 
 
 def places_in_radius(
-    queries: DataFrame, places: DataFrame, radius: Column, cell_m: float, slice_rows: int = SLICE_ROWS
+    queries: DataFrame, places: DataFrame, radius: Column, cell_m: float
 ) -> DataFrame:
     """Every (query point, place) within the radius. Queries: query_id, lat, lng and extras."""
     centres = queries.withColumnsRenamed({"lat": "c_lat", "lng": "c_lng"})
     return within_distance(
-        places, centres, radius, cell_m, ["id"], ["query_id"], slice_rows=slice_rows
+        places, centres, radius, cell_m
     )
 
 
@@ -180,7 +178,7 @@ def shrunk_radius(
     dy = far(F.col("lat"), F.col("_gy") * step, step) * metre
     flattest = F.least(F.abs("lat"), F.abs(F.col("_gy") * step), F.abs((F.col("_gy") + 1) * step))
     dx = far(F.col("lng"), F.col("_gx") * width, width) * metre * F.cos(F.radians(flattest))
-    bounded = sliced_join(cells, counts, ["_gy", "_gx"], ["query_id"], ["_gy"]).select(
+    bounded = keyed_join(cells, counts, ["_gy", "_gx"]).select(
         "query_id", "_n", F.sqrt(dy * dy + dx * dx).alias("_far")
     )
     grown = Window.partitionBy("query_id").orderBy("_far").rangeBetween(Window.unboundedPreceding, 0)
@@ -194,77 +192,73 @@ def shrunk_radius(
 
 def nearest_places(
     queries: DataFrame, places: DataFrame, radius: Column, k: int, cell_m: float,
-    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """The k nearest places per query point, with `position` from 1; ties by id."""
     fine = cell_m / 8
     asked = materialise(shrunk_radius(queries, places, radius, k, fine), "radius")
-    near = places_in_radius(asked, places, F.col("_radius"), fine, slice_rows).drop("_radius")
+    near = places_in_radius(asked, places, F.col("_radius"), fine).drop("_radius")
     return top_k(near, ["query_id"], [F.col("distance_m"), F.col("id")], k, "position", "id")
 
 
+def _trust_order(*ties: Column) -> list[Column]:
+    tier = F.when(F.col("verification") == "unverified", 1).otherwise(0)
+    return [tier, F.floor(F.col("distance_m") + F.lit(0.5)), *ties]
+
+
 def trust_ranking(rows: DataFrame, out: str = "trust_rank") -> DataFrame:
     """Corroborated places first, then rounded distance, then the original position.
 
     Groups hold at most the fetched rows of one query.
     """
-    tier = F.when(F.col("verification") == "unverified", 1).otherwise(0)
-    rounded = F.floor(F.col("distance_m") + F.lit(0.5))
-    order = Window.partitionBy("query_id").orderBy(tier, rounded, F.col("position"))
+    order = Window.partitionBy("query_id").orderBy(*_trust_order(F.col("position")))
     return rows.withColumn(out, F.row_number().over(order))
 
 
-def nearest_open(
-    queries: DataFrame, stores: DataFrame, radius: Column, limit: int, cell_m: float,
-    slice_rows: int = SLICE_ROWS,
-) -> DataFrame:
-    """The nearest places that can sell at the query's instant, most trusted first.
+def nearest_open(queries: DataFrame, stores: DataFrame, radius: Column, limit: int, cell_m: float) -> DataFrame:
+    """The places that can sell at the query's instant, most trusted first, then nearest; `limit` per query.
 
-    The nearest OPEN_NOW_FETCH rows are taken before the open-now test. Only columns needed for
-    the verdict travel through the join.
+    Every place within the radius is tested before the limit, so no open place hides behind closed ones.
+    Only columns needed for the verdict travel through the join.
     """
     columns = [
         "id", "lat", "lng", "name", "place_type", "sells_takeaway_beer", "opening_hours_osm",
         "opening_hours_web", "source_name", "matched_censo_source",
     ]
-    rows = nearest_places(
-        queries, served(stores).select(*columns), radius, max(limit, OPEN_NOW_FETCH), cell_m, slice_rows
-    )
-    # At most OPEN_NOW_FETCH rows per query; written once, as schedules are read from them too.
-    rows = materialise(rows, "nearest")
-    rows = with_open_now(rows, "at_time", ["query_id", "id"], slice_rows).where("open_now.sells_beer_now")
+    rows = places_in_radius(queries, served(stores).select(*columns), radius, cell_m)
+    rows = with_open_now(rows, "at_time").where("open_now.sells_beer_now")
     rows = rows.withColumn("verification", verification(F.col("source_name"), F.col("matched_censo_source")))
-    return trust_ranking(rows).where(F.col("trust_rank") <= limit)
+    order = _trust_order(F.col("distance_m"), F.col("id"))
+    return top_k(rows, ["query_id"], order, limit, "trust_rank", "id")
 
 
 # --- viewports ----------------------------------------------------------------
 
 
-def places_in_view(views: DataFrame, places: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def places_in_view(views: DataFrame, places: DataFrame) -> DataFrame:
     """Every (viewport, place) pair."""
-    return in_boxes(places, views, ["id"], ["view_id"], slice_rows)
+    return in_boxes(places, views)
 
 
-def map_sample(views: DataFrame, places: DataFrame, limit: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def map_sample(views: DataFrame, places: DataFrame, limit: int) -> DataFrame:
     """A repeatable sample per viewport in the order of the hashed id."""
-    rows = places_in_view(views, places, slice_rows)
+    rows = places_in_view(views, places)
     hashed = F.md5(F.col("id").cast("string"))
     return top_k(rows, ["view_id"], [hashed, F.col("id")], limit, "sample_rank", "id")
 
 
-def open_map_sample(views: DataFrame, stores: DataFrame, limit: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def open_map_sample(views: DataFrame, stores: DataFrame, limit: int) -> DataFrame:
     """The sample's places that can sell at the viewport's instant; the limit comes first."""
     columns = [
         "id", "lat", "lng", "name", "place_type", "sells_takeaway_beer", "opening_hours_osm", "opening_hours_web",
     ]
-    rows = map_sample(views, served(stores).select(*columns), limit, slice_rows)
-    rows = with_open_now(materialise(rows, "sample"), "at_time", ["view_id", "id"], slice_rows)
+    rows = map_sample(views, served(stores).select(*columns), limit)
+    rows = with_open_now(materialise(rows, "sample"), "at_time")
     return rows.where("open_now.sells_beer_now")
 
 
-def grid_clusters(views: DataFrame, places: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def grid_clusters(views: DataFrame, places: DataFrame) -> DataFrame:
     """Mean position and count per grid cell of each viewport; counts are complete."""
-    rows = places_in_view(views, places.select("id", "lat", "lng"), slice_rows)
+    rows = places_in_view(views, places.select("id", "lat", "lng"))
     return (
         rows.groupBy(
             "view_id",

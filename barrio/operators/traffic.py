@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barrio.functions.geo import BOXES, haversine_km, in_box
-from barrio.operators.skew import SLICE_ROWS, sliced_join
+from barrio.operators.keyed import keyed_join
 
 # Metropolitan areas (name, lat, lng) and catchment.
 METROS = [
@@ -132,7 +132,7 @@ def ip_number(ip: Column) -> Column:
     return F.when(valid, ((part(0) * 256 + part(1)) * 256 + part(2)) * 256 + part(3))
 
 
-def locate_visitors(visits: DataFrame, ranges: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def locate_visitors(visits: DataFrame, ranges: DataFrame) -> DataFrame:
     """City of each distinct address in a table of disjoint number ranges.
 
     A range is cut into aligned blocks: per power of two it uses, at most two at its ends. An
@@ -143,17 +143,15 @@ def locate_visitors(visits: DataFrame, ranges: DataFrame, slice_rows: int = SLIC
     sized = inside.withColumn(
         "_bits", F.ceil(F.log2((F.col("hi") - F.col("lo") + 1).cast("double"))).cast("int")
     )
-    # A range no longer than one block touches at most two blocks.
-    used = sorted(r[0] for r in sized.select("_bits").distinct().limit(64).collect())
+    # A range no longer than one block touches at most two blocks; an address has 32 bits.
     block = lambda value: F.floor(F.col(value) / F.pow(F.lit(2.0), F.col("_bits"))).cast("bigint")
     by_block = sized.withColumn("_block", F.explode(F.array_distinct(F.array(block("lo"), block("hi")))))
     numbered = visits.select("ip").distinct().withColumn("_n", ip_number(F.col("ip")))
     keyed = numbered.withColumn(
-        "_bits", F.explode(F.array(*[F.lit(b).cast("int") for b in used or [0]]))
+        "_bits", F.explode(F.array(*[F.lit(b) for b in range(33)]))
     ).withColumn("_block", block("_n"))
-    found = sliced_join(
-        keyed, by_block, ["_bits", "_block"], ["ip"], ["lo"], F.col("_n").between(F.col("lo"), F.col("hi")),
-        slice_rows,
+    found = keyed_join(
+        keyed, by_block, ["_bits", "_block"], F.col("_n").between(F.col("lo"), F.col("hi")),
     ).select("ip", "lat", "lng", F.coalesce("city_es", "city_en").alias("city"), F.lit("ip").alias("source"))
     return (
         numbered.select("ip").join(found, "ip", "left")

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barrio.operators.match import METHODS
-from barrio.operators.skew import SLICE_ROWS, sliced_lookup
 from barrio.plans.snapshot import EVIDENCE
 
 ACTIVE = "confidence_level <> 'excluded'"
@@ -45,7 +44,7 @@ def missing_essentials(stores: DataFrame) -> DataFrame:
     )
 
 
-def exact_duplicates(stores: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def exact_duplicates(stores: DataFrame) -> DataFrame:
     """Active rows sharing name and point, one row per member with the group's size.
 
     Groups are counted, never gathered: a group of any size stays spread over tasks.
@@ -53,7 +52,7 @@ def exact_duplicates(stores: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFra
     key = ["normalized_name", "lat", "lng"]
     rows = stores.where(ACTIVE).where("normalized_name <> ''").select("id", *key)
     groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return sliced_lookup(rows, groups, key, ["id"], "inner", slice_rows)
+    return rows.join(groups, key)
 
 
 def reprocessed_runs(runs: DataFrame, blocks: int = 64) -> DataFrame:

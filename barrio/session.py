@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -31,14 +34,18 @@ _OWN_FOLDERS: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in `spark.checkpoint.dir`; only where that is unset (tests on one
-    machine) a fresh temporary folder is made, once per application.
+    A cluster names it in `spark.checkpoint.dir`. Where that is unset, a session whose executors all live in
+    the driver's process gets a temporary folder, once per application and removed at its end; any
+    other session is refused, as its executors would not see each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         application = spark.sparkContext.applicationId
         if application not in _OWN_FOLDERS:
             _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, _OWN_FOLDERS[application], ignore_errors=True)
         folder = _OWN_FOLDERS[application]
     return folder.rstrip("/")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barrio.functions.text import GENERIC_TOKENS
-from barrio.operators import crawl, gridjoin, match, serve, skew, traffic
+from barrio.operators import crawl, gridjoin, keyed, match, serve, traffic
 from barrio.plans import audit
 
 
@@ -31,33 +31,22 @@ def points(n, seed, hot_share=0.4, at=(40.4, -3.7), spread=0.003):
     return out
 
 
-@pytest.mark.parametrize("slice_rows", [7, 10_000])
-def test_sliced_join_is_an_inner_join(spark, slice_rows):
+@pytest.mark.parametrize("empty", ["", "left", "right", "both"])
+def test_keyed_join_is_an_inner_join(spark, empty):
     left = spark.createDataFrame([(i, i % 3 if i < 60 else 9) for i in range(100)], "a int, k int")
     right = spark.createDataFrame([(i, 9 if i % 2 else i) for i in range(50)], "b int, k int")
-    got = skew.sliced_join(left, right, ["k"], ["a"], ["b"], slice_rows=slice_rows).select("a", "b", "k").collect()
-    want = left.join(right, "k").select("a", "b", "k").collect()
+    left, right = left.where(F.lit(empty not in ("left", "both"))), right.where(F.lit(empty not in ("right", "both")))
+    got = keyed.keyed_join(left, right, ["k"], F.col("a") > F.col("b")).select("a", "b", "k").collect()
+    want = left.join(right, "k").where("a > b").select("a", "b", "k").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-@pytest.mark.parametrize("slice_rows", [5, 10_000])
-def test_sliced_lookup_with_null_and_heavy_keys(spark, how, slice_rows):
-    big = spark.createDataFrame([(i, None if i % 4 == 0 else (1 if i % 3 else i)) for i in range(90)], "a int, k int")
-    small = spark.createDataFrame([(k, f"v{k}") for k in range(0, 60)], "k int, v string")
-    got = skew.sliced_lookup(big, small, ["k"], ["a"], how, slice_rows)
-    want = big.join(small, "k", how)
-    columns = sorted(want.columns)
-    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
-
-
 @pytest.mark.parametrize("latitude", [0.0, 40.4, -71.0, 82.0])
-@pytest.mark.parametrize("slice_rows", [10, 10_000])
-def test_within_distance_against_brute_force(spark, latitude, slice_rows):
+def test_within_distance_against_brute_force(spark, latitude):
     a, b = points(120, 1, at=(latitude, -3.7)), points(40, 2, at=(latitude, -3.7))
     places = spark.createDataFrame(a, "id int, lat double, lng double")
     centres = spark.createDataFrame(b, "c int, c_lat double, c_lng double")
-    got = gridjoin.within_distance(places, centres, F.lit(90.0), 90.0, ["id"], ["c"], slice_rows=slice_rows)
+    got = gridjoin.within_distance(places, centres, F.lit(90.0), 90.0)
     want = {(p[0], q[0]) for p in a for q in b if metres(q[1], q[2], p[1], p[2]) <= 90}
     rows = got.select("id", "c").collect()
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
@@ -67,7 +56,7 @@ def test_radius_may_differ_per_centre(spark):
     a, b = points(150, 3), points(30, 4, hot_share=0.1)
     places = spark.createDataFrame(a, "id int, lat double, lng double")
     centres = spark.createDataFrame([(*q, 20.0 + 15 * q[0]) for q in b], "c int, c_lat double, c_lng double, r double")
-    got = gridjoin.within_distance(places, centres, F.col("r"), 100.0, ["id"], ["c"])
+    got = gridjoin.within_distance(places, centres, F.col("r"), 100.0)
     want = {(p[0], q[0]) for p in a for q in b if metres(q[1], q[2], p[1], p[2]) <= 20 + 15 * q[0]}
     assert {tuple(r) for r in got.select("id", "c").collect()} == want
 
@@ -77,7 +66,7 @@ def test_nearest_places_with_a_hot_point(spark, k):
     a, b = points(400, 5), points(12, 6, hot_share=0.2, spread=0.006)
     places = spark.createDataFrame(a, "id int, lat double, lng double")
     queries = spark.createDataFrame(b, "query_id int, lat double, lng double")
-    got = serve.nearest_places(queries, places, F.lit(300.0), k, 300.0, slice_rows=20).collect()
+    got = serve.nearest_places(queries, places, F.lit(300.0), k, 300.0).collect()
     want = set()
     for q in b:
         near = sorted((metres(q[1], q[2], p[1], p[2]), p[0]) for p in a)
@@ -91,7 +80,7 @@ def test_boxes_of_very_different_sizes(spark):
     places = spark.createDataFrame(a, "id int, lat double, lng double")
     boxes = [(1, 41.0, 40.0, -3.0, -4.0), (2, 40.401, 40.3995, -3.699, -3.701), (3, 40.4, 40.4, -3.7, -3.7), (4, 80.0, -80.0, 170.0, -170.0)]
     views = spark.createDataFrame(boxes, "view_id int, north double, south double, east double, west double")
-    got = serve.places_in_view(views, places, slice_rows=25).select("view_id", "id").collect()
+    got = serve.places_in_view(views, places).select("view_id", "id").collect()
     want = {(v[0], p[0]) for v in boxes for p in a if v[2] <= p[1] <= v[1] and v[4] <= p[2] <= v[3]}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
@@ -155,7 +144,7 @@ def test_matching_against_brute_force(spark, seed, hot):
     rows = random_stores(160, seed, hot)
     stores = spark.createDataFrame(rows, STORE)
     qualified, accepted = accepted_by_hand(rows)
-    sites = match.qualified_sites(match.active_osm(stores), match.usable_censo(stores), slice_rows=15)
+    sites = match.qualified_sites(match.active_osm(stores), match.usable_censo(stores))
     assert (sites.agg(F.sum(F.col("osm_rows") * F.col("censo_rows"))).first()[0] or 0) == qualified
     got = {(r.osm_id, r.censo_id) for r in match.one_to_one(sites).collect()}
     assert got == accepted
@@ -165,7 +154,7 @@ def test_matching_against_brute_force(spark, seed, hot):
 
 def test_audit_totals_equal_listed_pairs(spark):
     stores = spark.createDataFrame(random_stores(140, 14, 0.5), STORE)
-    pairs = match.candidate_pairs(match.active_osm(stores), match.usable_censo(stores), slice_rows=10)
+    pairs = match.candidate_pairs(match.active_osm(stores), match.usable_censo(stores))
     audit_rows = {r.metric: r.value for r in match.match_audit(stores).collect()}
     assert audit_rows["candidate_pairs"] == pairs.count()
     assert audit_rows["osm_with_candidates"] == pairs.select("osm_id").distinct().count()
@@ -178,7 +167,7 @@ def test_audit_totals_equal_listed_pairs(spark):
 def test_duplicates_of_a_huge_group_stay_whole(spark):
     rows = [(i, "A", 1.0, 1.0, "high") for i in range(300)] + [(i, f"B{i}", 1.0, 1.0, "high") for i in range(300, 320)]
     df = spark.createDataFrame(rows, "id int, normalized_name string, lat double, lng double, confidence_level string")
-    out = audit.exact_duplicates(df, slice_rows=20)
+    out = audit.exact_duplicates(df)
     assert out.count() == 300 and out.select("n").distinct().collect()[0].n == 300
 
 
@@ -207,7 +196,7 @@ def test_robots(spark):
     robots = spark.createDataFrame([("https://a.es", *x) for x in lines], "origin string, line_no int, line string")
     urls = spark.createDataFrame([("https://a.es/priv/ok",), ("https://a.es",), ("https://a.es/public?x=/priv",), ("https://b.es/priv",)], "url string")
     rules = crawl.applicable_rules(crawl.robots_sections(robots), "placebot")
-    got = {r.url: r.allowed for r in crawl.robots_verdict(urls, rules, slice_rows=1).collect()}
+    got = {r.url: r.allowed for r in crawl.robots_verdict(urls, rules).collect()}
     assert got == {"https://a.es/priv/ok": False, "https://a.es": True, "https://a.es/public?x=/priv": True, "https://b.es/priv": True}
 
 
