@@ -99,7 +99,7 @@ def _(d: Data):
 part(
     "instant_pairs",
     "select q.query_id, q.at_time, f.week_min, f.day_min, o.id, o.place_type, o.sells_takeaway_beer, o.hours, o.hours_source from (@fx_query_points) q join (@local_instants) f on f.query_id = q.query_id "
-    "join (@effective) o on o.id % 200 = (q.query_id // 50) % 200 and o.source_name = 'osm'",
+    "join (@effective) o on abs(o.id) % 1000 = q.query_id",
 )
 part(
     "instant_states",
@@ -109,10 +109,9 @@ part(
 
 
 def _instant_pairs(d: Data):
-    """Places at instants: each query instant meets a share of the places."""
-    q = d.fx_query_points.select("query_id", "at_time", (F.floor(F.col("query_id") / 50) % 200).alias("_k"))
-    o = d.stores.where("source_name = 'osm'").withColumn("_k", F.col("id") % 200)
-    return q.join(o, "_k").drop("_k")
+    """Every place of every source at one instant."""
+    q = d.fx_query_points.select("query_id", "at_time")
+    return q.join(d.stores.withColumn("query_id", F.abs("id") % 1000), "query_id")
 
 
 @query("o3_is_open_at", "select query_id, id, is_open, closes_at from (@instant_states)")

@@ -240,10 +240,10 @@ def clock_text(minute: Column) -> Column:
 def attach_schedules(df: DataFrame, column: str) -> DataFrame:
     """Add the compiled `open_spans` of a schedule column.
 
-    Each distinct text is compiled once.
+    Each distinct text is compiled once and written, as the compiled form is read by every row.
     """
     used = df.where(F.col(column).isNotNull()).select(F.col(column).alias("schedule")).distinct()
-    compiled = compile_schedules(used)
+    compiled = materialise(compile_schedules(used), "schedules")
     lookup_table = compiled.select(F.col("schedule").alias(column), "open_spans")
     return df.join(lookup_table, column, "left")
 
