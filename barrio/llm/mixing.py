@@ -49,14 +49,15 @@ def targets(sizes: DataFrame) -> DataFrame:
     rank = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
     before, after = rank.rowsBetween(Window.unboundedPreceding, -1), rank.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy(F.lit(1))
-    # If the sources before this one in rank stop at their limit, the others share the rest by weight.
+    # If the sources before this one in rank stop at their limit, the others share the rest by weight. Too few at their
+    # limit give a level that does not fit, too many a lower one than the right one.
     level = weighed.withColumn(
         "level",
         (F.sum("source_size").over(everything) * SHARE - MOST * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
         / F.sum("weight").over(after),
     )
     fits = F.when(F.col("level") * F.col("weight") <= MOST * F.col("source_size"), F.col("level"))
-    return level.withColumn("level", F.min(fits).over(everything)).select(
+    return level.withColumn("level", F.max(fits).over(everything)).select(
         "source", "source_size",
         F.least((MOST * F.col("source_size")).cast("double"), F.col("level") * F.col("weight")).alias("target"),
     )

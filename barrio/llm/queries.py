@@ -125,7 +125,7 @@ with d as (
 ), t as (
     select source, source_size, least(2.0::double * source_size, weight * level) as target
     from (select source, source_size, weight,
-                 min(case when level * weight <= 2 * source_size then level end) over () as level from l)
+                 max(case when level * weight <= 2 * source_size then level end) over () as level from l)
 ), p as (
     select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as passes from t
 ), u as (
