@@ -34,8 +34,8 @@ from barrio.llm.common import Numbering, Store, blocks, read_bytes, texts
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Bytes of text that are encoded together, and distinct pieces that a worker remembers.
-BLOCK_BYTES = 12 << 20
-PIECES = 500_000
+BLOCK_BYTES = 6 << 20
+PIECES = 250_000
 
 
 def byte_letters() -> list[str]:

@@ -51,7 +51,7 @@ SMALL = 8
 DEALS = 3
 
 BLOCK_BYTES = 4 << 20
-WORDS = 400_000
+WORDS = 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
