@@ -205,6 +205,6 @@ def test_ip_ranges_of_mixed_width(spark):
     table = spark.createDataFrame([(lo, hi, 40.0, -3.0, None, city) for lo, hi, city in ranges],
                                   "lo long, hi long, lat double, lng double, city_es string, city_en string")
     ips = ["10.0.0.0", "10.0.0.255", "10.0.1.0", "10.0.1.1", "11.200.3.4", "12.0.0.0", "300.1.1.1", "x"]
-    got = {r.ip: (r.city, r.source) for r in traffic.locate_visitors(spark.createDataFrame([(i,) for i in ips], "ip string"), table, 2).collect()}
+    got = {r.ip: (r.city, r.source) for r in traffic.locate_visitors(spark.createDataFrame([(i,) for i in ips], "ip string"), table).collect()}
     none = (None, "none")
     assert got == dict(zip(ips, [("Madrid", "ip"), ("Madrid", "ip"), ("Vigo", "ip"), none, ("Gijón", "ip"), none, none, none]))
