@@ -29,7 +29,7 @@ def states(spark, cases):
         [(i, *c) for i, c in enumerate(cases)],
         "id int, place_type string, sells_takeaway_beer boolean, opening_hours_osm string, opening_hours_web string, t timestamp_ntz",
     )
-    return [r.open_now for r in hours.with_open_now(df, "t", ["id"]).orderBy("id").collect()]
+    return [r.open_now for r in hours.with_open_now(df, "t").orderBy("id").collect()]
 
 
 def test_verdicts(spark):
