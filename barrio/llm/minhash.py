@@ -11,10 +11,14 @@ shingle stops when its next one is later than every register's. All shingles of
 handled at once, in arrays.
 
 Banding. Copies of a text are one text. Three registers make a band; two texts of similarity 0.8 share one
-of the 21 bands with a probability above 0.9999995. Pairs of a band's bucket become candidates: all
-pairs in a bucket of up to `SMALL` texts. Those of a larger bucket are each paired with its smallest text, and the bucket
-is dealt again with the next band's key added, twice, so that its pairs thin out but
-texts that agree in more bands still meet. No group of unknown size is gathered anywhere.
+of the 21 bands with a probability above 0.9999995. All pairs of a bucket of up to `SMALL` texts become
+candidates. The texts of a larger bucket are each paired with its smallest text only. What the classes found so far
+do not settle then follows: a bucket whose texts are all in one class has no link to add; the
+texts of the others meet again in a bucket for each three of the bands that are still open for them (texts of
+similarity 0.8 share three bands or more with a probability above 0.9999). Triple buckets that are again large are
+worked off in rounds: `PIVOTS` texts of each bucket, those of its smallest classes first, are paired with all
+texts of other classes and leave the bucket, until one class is left in it. So every two texts that
+share three bands or a small bucket are compared or already in one class, and no group of unknown size is gathered anywhere.
 
 Verification recomputes the shingle sets of candidate pairs and keeps the pairs of 0.8 or more.
 
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barrio.llm.common import blocks, content_key, texts
@@ -46,9 +50,9 @@ SIMILAR = 0.8
 
 REGISTERS, ROWS = 63, 3
 BANDS = REGISTERS // ROWS
-#: Texts of a bucket up to which all pairs are candidates, and how often larger ones are dealt again.
+#: Texts of a bucket up to which all pairs are candidates, and texts that leave a larger one in a round.
 SMALL = 8
-DEALS = 3
+PIVOTS = 64
 
 BLOCK_BYTES = 4 << 20
 WORDS = 200_000
@@ -152,40 +156,94 @@ def with_band(key: Column, band: Column) -> Column:
 
 
 def _deal(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of the buckets of (key, id), and the items of larger buckets."""
-    buckets = items.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where(F.col("n") > 1)
+    """Candidate pairs of the buckets of (key, id, label), and the items of larger buckets.
+
+    Texts of one label are never paired, and buckets with one label are left out.
+    """
+    buckets = items.groupBy("key").agg(
+        F.count("*").alias("n"), F.min(F.struct("id", "label")).alias("least"),
+        F.min("label").alias("low"), F.max("label").alias("high"),
+    ).where(F.col("low") < F.col("high"))
     # Read back, both sides of the joins are shuffled for them, and the planner may split a hot key.
     buckets = materialise(buckets.select(F.col("key").alias("b_key"), "n", "least"), "near-buckets")
     same = F.col("key") == F.col("b_key")
     few = items.join(buckets.where(F.col("n") <= SMALL), same)
-    small = few.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    small = few.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("id", "label"))).alias("ids"))
     later = F.flatten(F.transform(
         "ids", lambda a, i: F.transform(
-            F.slice("ids", i + 2, SMALL), lambda b: F.struct(a.alias("a"), b.alias("b")),
+            F.filter(F.slice("ids", i + 2, SMALL), lambda b: b["label"] != a["label"]),
+            lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b")),
         ),
     ))
     pairs = small.select(F.explode(later).alias("p")).select("p.a", "p.b")
     large = items.join(buckets.where(F.col("n") > SMALL), same)
-    stars = large.where(F.col("id") != F.col("least")).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    return pairs.unionByName(stars), large.select("key", "id")
+    stars = large.where(F.col("label") != F.col("least.label")).select(F.col("least.id").alias("a"), F.col("id").alias("b"))
+    return pairs.unionByName(stars).distinct(), large.select("key", "id")
+
+
+def _unsettled(items: DataFrame, labels: DataFrame) -> DataFrame:
+    """The items (key, id) of buckets that hold more than one label, with their labels."""
+    named = items.join(
+        labels.select(F.col("id").alias("l_id"), "label"), F.col("id") == F.col("l_id"), "left",
+    ).select("key", "id", F.coalesce("label", "id").alias("label"))
+    named = materialise(named, "near-named")
+    mixed_keys = named.groupBy(F.col("key").alias("m_key")).agg(
+        F.min("label").alias("low"), F.max("label").alias("high"),
+    ).where(F.col("low") < F.col("high")).select("m_key")
+    open_rows = named.join(materialise(mixed_keys, "near-open-keys"), F.col("key") == F.col("m_key"))
+    return materialise(open_rows.select("key", "id", "label"), "near-open")
+
+
+def _triples(items: DataFrame) -> DataFrame:
+    """A key for each three of the keys that an id has; an id has at most one key per band."""
+    held = items.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("k"), F.first("label").alias("label"))
+    threes = F.flatten(F.transform("k", lambda a, i: F.flatten(F.transform(
+        F.slice("k", i + 2, BANDS), lambda b, j: F.transform(
+            F.slice("k", i + j + 3, BANDS), lambda c: F.xxhash64(a, b, c),
+        ),
+    ))))
+    return held.select(F.explode(threes).alias("key"), "id", "label")
+
+
+def _pivots(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of some texts of each bucket with all its texts of other labels, and the items without those texts."""
+    sizes = items.groupBy(F.col("key").alias("s_key"), F.col("label").alias("s_label")).agg(F.count("*").alias("n"))
+    sized = items.join(sizes, (F.col("key") == F.col("s_key")) & (F.col("label") == F.col("s_label")))
+    order = Window.partitionBy("key").orderBy("n", "label", "id")
+    chosen = sized.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
+    chosen = materialise(chosen.select(
+        F.col("key").alias("p_key"), F.col("id").alias("p_id"), F.col("label").alias("p_label"),
+    ), "near-pivots")
+    pairs = items.join(chosen, (F.col("key") == F.col("p_key")) & (F.col("label") != F.col("p_label"))).select(
+        F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"),
+    )
+    rest = items.join(chosen, (F.col("key") == F.col("p_key")) & (F.col("id") == F.col("p_id")), "left_anti")
+    return pairs.distinct(), rest.select("key", "id")
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of (id, keys) that share a bucket, as the module text says."""
+def similar_labels(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, label of the texts (id, keys) that are near to another, as the module text says."""
     items = texts.select("id", F.posexplode("keys").alias("band", "at")).select(
-        with_band(F.col("at"), F.col("band")).alias("key"), "id",
+        with_band(F.col("at"), F.col("band")).alias("key"), "id", F.col("id").alias("label"),
     )
-    pairs = None
-    for deal in range(1, DEALS + 1):
-        found, large = _deal(items)
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if deal < DEALS:
-            band = F.col("key").bitwiseAND(F.lit(31).cast("bigint"))
-            again = large.join(texts.select(F.col("id").alias("t_id"), "keys"), F.col("id") == F.col("t_id")).select(
-                with_band(F.xxhash64("key", F.get("keys", (band + deal) % BANDS)), band).alias("key"), "id",
-            )
-            items = materialise(again, f"near-deal-{deal}")
-    return pairs.distinct()
+    pairs, large = _deal(items)
+    links = materialise(verify(pairs, docs), "near-links")
+    labels = components(links)
+    left = _unsettled(large, labels)
+    if left.isEmpty():
+        return labels
+    # From here on only the texts of open buckets are read.
+    ids = left.select(F.col("id").alias("o_id")).distinct()
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text").join(ids.hint("merge"), F.col("doc_id") == F.col("o_id"))
+    docs = materialise(docs.select("doc_id", "text"), "near-open-texts")
+    pairs, large = _deal(materialise(_triples(left), "near-triples"))
+    while True:
+        links = materialise(links.unionByName(verify(pairs, docs)), "near-links")
+        labels = components(links)
+        left = _unsettled(large, labels)
+        if left.isEmpty():
+            return labels
+        pairs, large = _pivots(left)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +284,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, label: the smallest id of the component, for every id in a link (a, b) with a < b."""
-    links = materialise(links, "near-links")
+    """id, label: the smallest id of the component, for every id in a written link (a, b) with a < b."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialise(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")).unionByName(
         links.select(F.col("a").alias("id"), F.col("a").alias("label")),
@@ -254,7 +311,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # Equal texts have equal keys, so any of them will do.
     firsts = members.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
     firsts = materialise(firsts.where(F.col("id").isNotNull()), "near-firsts")
-    labels = components(verify(candidates(firsts), docs))
+    labels = similar_labels(firsts, docs)
     classed = firsts.join(labels, "id", "left").select(
         F.col("digest").alias("c_digest"), F.coalesce("label", "id").alias("class_id"),
     )

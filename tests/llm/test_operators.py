@@ -229,6 +229,26 @@ def test_near_duplicates(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(got.values())
 
 
+@pytest.mark.parametrize(("small", "pivots"), [(8, 64), (2, 16)])
+def test_near_duplicates_in_crowded_buckets(spark, monkeypatch, small, pivots):
+    """Texts that share most of a passage meet in large buckets; chains and pairs among them must be found."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "PIVOTS", pivots)
+    rnd = random.Random(3)
+    passage, table = prose(120, rnd), []
+    for g in range(40):
+        own = [f"w{g}x{k}" for k in range(30 + g % 12)]
+        for k in range(1 + g % 3):
+            table.append((len(table), passage + " " + " ".join([*own[:-1], f"end{g}y{k}"])))
+    chain = prose(150, rnd).split(" ")
+    for k in range(12):
+        chain[5 + 11 * k] = f"step{k}"
+        table.append((len(table), " ".join(chain)))
+    df = spark.createDataFrame([(i, t, None, None, None, "", "") for i, t in table], SCHEMA).repartition(3)
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(df).collect()}
+    assert got == near_brute(table)
+
+
 def test_shards(docs):
     got = shards.shard(docs).collect()
     assert len(got) == len(rows())
@@ -279,6 +299,83 @@ def test_oracle(spark, data, name):
     assert not compare.differences(df, compare.connection(data), queries.ORACLES[name])
 
 
+def good_brute(table):
+    """The documents (id, text, source) that the quality rules keep."""
+    pages, having, left = defaultdict(set), defaultdict(set), []
+    lines = lambda t: [x.lower().strip(" ") for x in t.split("\n") if x.strip(" ")]
+    for _, t, s in table:
+        pages[s].add(t or "")
+        for x in lines(t or ""):
+            having[s, x].add(t or "")
+    for i, t, s in table:
+        found = words(t)
+        windows = [tuple(found[k:k + 3]) for k in range(len(found) - 2)]
+        twice = Counter(windows)
+        covered = {k + j for k, w in enumerate(windows) if twice[w] > 1 for j in range(3)}
+        if len(found) < 50 or 100 * len(covered) > 50 * len(found):
+            continue
+        total = len(t.replace("\n", ""))
+        gone = sum(len(x) for x in lines(t) if len(having[s, x]) > max(50, 0.01 * len(pages[s])))
+        if total - gone >= 0.2 * total:
+            left.append((i, t, s))
+    return left
+
+
+def lines_brute(table):
+    pages, having = defaultdict(set), defaultdict(set)
+    for _, t, s in table:
+        pages[s].add(t)
+        for x in t.split("\n"):
+            having[s, x.lower().strip(" ")].add(t)
+
+    def common(s, x):
+        n = len(having[s, x.lower().strip(" ")])
+        return x.strip(" ") and n >= 10 and n > 0.1 * len(pages[s])
+
+    return [(i, "\n".join(x for x in t.split("\n") if not common(s, x)), s) for i, t, s in table]
+
+
+def mix_brute(table):
+    sizes, by = Counter(), defaultdict(list)
+    for i, t, s in table:
+        sizes[s] += len(words(t))
+        by[s].append((int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), i, t))
+    out = Counter()
+    for s, target in shares(sizes).items():
+        passes = int(target // sizes[s]) if sizes[s] else 0
+        rest = target - passes * sizes[s]
+        for _, i, t in sorted(by[s]):
+            rest -= len(words(t))
+            out[i, t] += passes + (rest >= 0)
+    return +out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    rnd = random.Random(23)
+    menu = "Shared menu of this site with some more words"
+    footer = "\n".join(f"footer line {k} of the one host that has little else to say" for k in range(8))
+    table = [(i, t, None) for i, t in enumerate(ODD)]
+    for k in range(70):
+        source = ("s1", "s2", "s3", None)[k % 7 % 4]
+        table.append((100 + k, f"{menu}\n{prose(60 + k, rnd)}\n\nown ending {k}" if k % 3 else prose(80, rnd), source))
+    table += [(200 + k, f"{footer}\n{k}", "s4") for k in range(60)]
+    table += [(300 + k, table[30 + k % 5][1], table[30 + k % 5][2]) for k in range(12)]
+    table += [(400 + k, f"{table[40 + k % 4][1]} extra{k}", "s2") for k in range(9)]
+    df = spark.createDataFrame([(i, t, None, s, None, "clash", "clash") for i, t, s in table], SCHEMA)
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+
+    kept = lines_brute(good_brute(table))
+    assert 50 < len(kept) < len(table) and not any(200 <= i < 300 for i, _, _ in kept)
+    label = near_brute([(i, t) for i, t, _ in kept])
+    kept = [x for x in kept if label[x[0]] == x[0]]
+    library, want = Tokenizer.from_file(BYTES), Counter()
+    for (i, t), times in mix_brute(kept).items():
+        want[i, tuple(library.encode(t, add_special_tokens=False).ids), hashlib.sha256(t.encode()).hexdigest()] += times
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded_sha256) for r in got) == want
+    assert all(r.n_tokens == len(r.ids) for r in got)
+
+
 def test_pipeline(spark, data, docs):
     assert [len(x) for x in corpus_pipeline.STAGES] == [2] * 5
     kept = docs
