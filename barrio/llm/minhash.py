@@ -15,10 +15,9 @@ of the 21 bands with a probability above 0.9999995. All pairs of a bucket of up
 candidates. The texts of a larger bucket are each paired with its smallest text only. What the classes found so far
 do not settle then follows: a bucket whose texts are all in one class has no link to add; the
 texts of the others meet again in a bucket for each three of the bands that are still open for them (texts of
-similarity 0.8 share three bands or more with a probability above 0.9999). Triple buckets that are again large are
-worked off in rounds: `PIVOTS` texts of each bucket, those of its smallest classes first, are paired with all
-texts of other classes and leave the bucket, until one class is left in it. So every two texts that
-share three bands or a small bucket are compared or already in one class, and no group of unknown size is gathered anywhere.
+similarity 0.8 share three bands or more with a probability above 0.9999). In a triple bucket that is
+again large every text is compared with the smallest one only, so a pair of different classes that meets only in such
+buckets can be missed. No group of unknown size is gathered anywhere.
 
 Verification recomputes the shingle sets of candidate pairs and keeps the pairs of 0.8 or more.
 
@@ -38,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barrio.llm.common import blocks, content_key, texts
@@ -50,9 +49,8 @@ SIMILAR = 0.8
 
 REGISTERS, ROWS = 63, 3
 BANDS = REGISTERS // ROWS
-#: Texts of a bucket up to which all pairs are candidates, and texts that leave a larger one in a round.
+#: Texts of a bucket up to which all pairs are candidates.
 SMALL = 8
-PIVOTS = 64
 
 BLOCK_BYTES = 4 << 20
 WORDS = 200_000
@@ -205,22 +203,6 @@ def _triples(items: DataFrame) -> DataFrame:
     return held.select(F.explode(threes).alias("key"), "id", "label")
 
 
-def _pivots(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of some texts of each bucket with all its texts of other labels, and the items without those texts."""
-    sizes = items.groupBy(F.col("key").alias("s_key"), F.col("label").alias("s_label")).agg(F.count("*").alias("n"))
-    sized = items.join(sizes, (F.col("key") == F.col("s_key")) & (F.col("label") == F.col("s_label")))
-    order = Window.partitionBy("key").orderBy("n", "label", "id")
-    chosen = sized.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
-    chosen = materialise(chosen.select(
-        F.col("key").alias("p_key"), F.col("id").alias("p_id"), F.col("label").alias("p_label"),
-    ), "near-pivots")
-    pairs = items.join(chosen, (F.col("key") == F.col("p_key")) & (F.col("label") != F.col("p_label"))).select(
-        F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"),
-    )
-    rest = items.join(chosen, (F.col("key") == F.col("p_key")) & (F.col("id") == F.col("p_id")), "left_anti")
-    return pairs.distinct(), rest.select("key", "id")
-
-
 def similar_labels(texts: DataFrame, docs: DataFrame) -> DataFrame:
     """id, label of the texts (id, keys) that are near to another, as the module text says."""
     items = texts.select("id", F.posexplode("keys").alias("band", "at")).select(
@@ -236,14 +218,8 @@ def similar_labels(texts: DataFrame, docs: DataFrame) -> DataFrame:
     ids = left.select(F.col("id").alias("o_id")).distinct()
     docs = docs.select(F.col("doc_id").cast("bigint"), "text").join(ids.hint("merge"), F.col("doc_id") == F.col("o_id"))
     docs = materialise(docs.select("doc_id", "text"), "near-open-texts")
-    pairs, large = _deal(materialise(_triples(left), "near-triples"))
-    while True:
-        links = materialise(links.unionByName(verify(pairs, docs)), "near-links")
-        labels = components(links)
-        left = _unsettled(large, labels)
-        if left.isEmpty():
-            return labels
-        pairs, large = _pivots(left)
+    pairs, _ = _deal(materialise(_triples(left), "near-triples"))
+    return components(materialise(links.unionByName(verify(pairs, docs)), "near-links"))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

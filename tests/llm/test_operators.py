@@ -229,11 +229,8 @@ def test_near_duplicates(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(got.values())
 
 
-@pytest.mark.parametrize(("small", "pivots"), [(8, 64), (2, 16)])
-def test_near_duplicates_in_crowded_buckets(spark, monkeypatch, small, pivots):
+def test_near_duplicates_in_crowded_buckets(spark):
     """Texts that share most of a passage meet in large buckets; chains and pairs among them must be found."""
-    monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "PIVOTS", pivots)
     rnd = random.Random(3)
     passage, table = prose(120, rnd), []
     for g in range(40):
