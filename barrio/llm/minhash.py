@@ -4,9 +4,9 @@ Texts are compared by their sets of five-word shingles; they are near duplicates
 0.8 or more. A class is a connected component of that relation. A text of one to four words has
 one shingle, all its words; a text without words is near to none but to its exact copies.
 
-Signatures. Each shingle of weight w sends arrivals of a Poisson process of rate w to the registers, a register keeps its first
-arrival, and the shingle that sent it is the register's value: two texts agree in it with the probability
-Jaccard similarity of their weights. The weight is 1 + log2(occurrences). Arrivals come in rounds and a
+Signatures. Each distinct shingle sends arrivals of a Poisson process of rate 1 to the registers, a register keeps its first
+arrival, and the shingle that sent it is the register's value: two texts agree in it with the probability of
+their Jaccard similarity, the one that is verified, however often a shingle is repeated. Arrivals come in rounds and a
 shingle stops when its next one is later than every register's. All shingles of a block of texts are
 handled at once, in arrays.
 
@@ -100,7 +100,6 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     order = np.lexsort((element, owner))
     owner, element = owner[order], element[order]
     first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (element[1:] != element[:-1])]))
-    weight = 1 + np.log2(np.diff(np.concatenate([first, [len(element)]])))
     owner, element = owner[first], element[first]
 
     arrival = np.full((len(sets), REGISTERS), np.inf)
@@ -110,13 +109,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     while len(element):
         state = mixed(state)
         uniform = ((state >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
-        at = at - np.log(uniform) / weight
+        at = at - np.log(uniform)
         register = (mixed(state ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(REGISTERS)).astype(np.int64)
         np.minimum.at(arrival, (owner, register), at)
         hit = arrival[owner, register] == at
         winner[owner[hit], register[hit]] = element[hit]
         alive = at < arrival.max(axis=1)[owner]
-        owner, element, weight, at, state = owner[alive], element[alive], weight[alive], at[alive], state[alive]
+        owner, element, at, state = owner[alive], element[alive], at[alive], state[alive]
     return winner
 
 

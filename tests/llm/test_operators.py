@@ -229,6 +229,18 @@ def test_near_duplicates(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(got.values())
 
 
+def test_near_duplicates_with_repeated_own_phrases(spark):
+    """Similarity is that of sets: phrases that each page repeats must not hide the shared part."""
+    table = []
+    for g in range(8):
+        shared = " ".join(f"s{g}x{k}" for k in range(404))
+        table += [(len(table) + k, shared + f" {' '.join(f'own{g}y{k}z{j}' for j in range(40))}" * 60) for k in range(2)]
+    df = spark.createDataFrame([(i, t, None, None, None, "", "") for i, t in table], SCHEMA)
+    want = near_brute(table)
+    assert want == {i: i - i % 2 for i, _ in table}
+    assert {r.doc_id: r.class_id for r in minhash.near_classes(df).collect()} == want
+
+
 def test_near_duplicates_in_crowded_buckets(spark):
     """Texts that share most of a passage meet in large buckets; chains and pairs among them must be found."""
     rnd = random.Random(3)
