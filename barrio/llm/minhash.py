@@ -12,12 +12,14 @@ handled at once, in arrays.
 
 Banding. Copies of a text are one text. Three registers make a band; two texts of similarity 0.8 share one
 of the 21 bands with a probability above 0.9999995. All pairs of a bucket of up to `SMALL` texts become
-candidates. The texts of a larger bucket are each paired with its smallest text only. What the classes found so far
-do not settle then follows: a bucket whose texts are all in one class has no link to add; the
-texts of the others meet again in a bucket for each three of the bands that are still open for them (texts of
-similarity 0.8 share three bands or more with a probability above 0.9999). In a triple bucket that is
-again large every text is compared with the smallest one only, so a pair of different classes that meets only in such
-buckets can be missed. No group of unknown size is gathered anywhere.
+candidates. The texts of a larger bucket are each paired with its smallest text only. A bucket whose texts are then
+all in one class has no link to add. All texts of the others are joined exactly.
+
+Exact join. The shingles of a text are ordered by the number of those texts that have them, rarest first. Two texts of n and
+m shingles are near only if they share (n + m) * 0.8 / 1.8 of them, so their first common shingle stands among the
+n - ceil(0.8 n) + 1 rarest of each, with at least that many left from there on in both. Texts of different classes that meet so are
+candidates; the lengths and places decide that before a text is read. In a crowd the rarest shingles are mostly a text's
+own, which join nothing. A shingle of many texts is joined by slices of both sides, so no group of unknown size is gathered anywhere.
 
 Verification recomputes the shingle sets of candidate pairs and keeps the pairs of 0.8 or more.
 
@@ -51,6 +53,8 @@ REGISTERS, ROWS = 63, 3
 BANDS = REGISTERS // ROWS
 #: Texts of a bucket up to which all pairs are candidates.
 SMALL = 8
+#: Texts of a slice of a shingle's texts in the exact join.
+SLICE = 128
 
 BLOCK_BYTES = 4 << 20
 WORDS = 200_000
@@ -179,7 +183,7 @@ def _deal(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _unsettled(items: DataFrame, labels: DataFrame) -> DataFrame:
-    """The items (key, id) of buckets that hold more than one label, with their labels."""
+    """The ids of the items (key, id) of buckets that hold more than one label, with their labels."""
     named = items.join(
         labels.select(F.col("id").alias("l_id"), "label"), F.col("id") == F.col("l_id"), "left",
     ).select("key", "id", F.coalesce("label", "id").alias("label"))
@@ -188,18 +192,60 @@ def _unsettled(items: DataFrame, labels: DataFrame) -> DataFrame:
         F.min("label").alias("low"), F.max("label").alias("high"),
     ).where(F.col("low") < F.col("high")).select("m_key")
     open_rows = named.join(materialise(mixed_keys, "near-open-keys"), F.col("key") == F.col("m_key"))
-    return materialise(open_rows.select("key", "id", "label"), "near-open")
+    return materialise(open_rows.select("id", "label").distinct(), "near-open")
 
 
-def _triples(items: DataFrame) -> DataFrame:
-    """A key for each three of the keys that an id has; an id has at most one key per band."""
-    held = items.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("k"), F.first("label").alias("label"))
-    threes = F.flatten(F.transform("k", lambda a, i: F.flatten(F.transform(
-        F.slice("k", i + 2, BANDS), lambda b, j: F.transform(
-            F.slice("k", i + j + 3, BANDS), lambda c: F.xxhash64(a, b, c),
-        ),
-    ))))
-    return held.select(F.explode(threes).alias("key"), "id", "label")
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each text, one row a shingle."""
+    for block in blocks(batches, BLOCK_BYTES):
+        found = texts(block.column(2))
+        sets = [np.unique(shingles(t)) for t in found]
+        n = np.array([len(x) for x in sets], np.int64)
+        at = pa.array(np.repeat(np.arange(len(sets)), n))
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        # Rows may repeat an id with another text.
+        own = pa.array(np.array([xxhash.xxh3_64_intdigest(t) for t in found], np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [block.column(0).take(at), block.column(1).take(at), own.take(at), pa.array(np.repeat(n, n)), pa.array(flat)],
+            ["id", "label", "own", "n", "key"],
+        )
+
+
+def _prefixes(open_texts: DataFrame) -> DataFrame:
+    """key, id, label, n, rest: the rarest shingles of each text (id, label, text), with the shingles left from there on."""
+    listed = materialise(open_texts.mapInArrow(_listed, "id bigint, label bigint, own bigint, n bigint, key bigint"), "near-shingles")
+    # A shingle of one text joins nothing, but counts among the rarest.
+    held = listed.groupBy(F.col("key").alias("h_key")).agg(F.count("*").alias("texts")).where(F.col("texts") > 1)
+    counted = listed.join(materialise(held, "near-counts"), F.col("key") == F.col("h_key"), "left")
+    ordered = counted.groupBy("id", "label", "own", "n").agg(
+        F.sort_array(F.collect_set(F.struct(F.coalesce("texts", F.lit(1)).alias("texts"), "key"))).alias("keys"),
+    )
+    # A hair below, so that rounding never makes a prefix too short.
+    most = F.col("n") - F.ceil(F.col("n") * F.lit(SIMILAR) - F.lit(1e-9)) + 1
+    rows = ordered.select("id", "label", "n", F.posexplode(F.slice("keys", F.lit(1), most.cast("int"))).alias("at", "k"))
+    return rows.where(F.col("k.texts") > 1).select(F.col("k.key").alias("key"), "id", "label", "n", (F.col("n") - F.col("at")).alias("rest"))
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Candidate pairs of different labels among the rows that `_prefixes` gives."""
+    sizes = rows.groupBy(F.col("key").alias("s_key")).agg(
+        F.ceil(F.count("*") / SLICE).cast("int").alias("slices"), F.min("label").alias("low"), F.max("label").alias("high"),
+    ).where(F.col("low") < F.col("high")).select("s_key", "slices")
+    cut = rows.join(materialise(sizes, "near-slices"), F.col("key") == F.col("s_key")).select(
+        "key", "id", "label", "n", "rest", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("own"),
+        F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"),
+    )
+    cut = materialise(cut, "near-cut")
+    one = cut.select("key", F.col("own").alias("s"), F.col("other").alias("t"), *[F.col(c).alias(f"{c}_a") for c in ("id", "label", "n", "rest")])
+    two = cut.select("key", F.col("other").alias("s"), F.col("own").alias("t"), *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "rest")])
+    need = (F.col("n_a") + F.col("n_b")) * F.lit(SIMILAR / (1 + SIMILAR)) - F.lit(1e-6)
+    two = two.withColumnsRenamed({"key": "key_b", "s": "s_b", "t": "t_b"})
+    both = one.join(two, (
+        (F.col("key") == F.col("key_b")) & (F.col("s") == F.col("s_b")) & (F.col("t") == F.col("t_b"))
+        & (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
+        & (F.least("rest_a", "rest_b") >= need)
+    ))
+    return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def similar_labels(texts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -214,11 +260,11 @@ def similar_labels(texts: DataFrame, docs: DataFrame) -> DataFrame:
     if left.isEmpty():
         return labels
     # From here on only the texts of open buckets are read.
-    ids = left.select(F.col("id").alias("o_id")).distinct()
+    ids = left.select(F.col("id").alias("o_id"), "label")
     docs = docs.select(F.col("doc_id").cast("bigint"), "text").join(ids.hint("merge"), F.col("doc_id") == F.col("o_id"))
-    docs = materialise(docs.select("doc_id", "text"), "near-open-texts")
-    pairs, _ = _deal(materialise(_triples(left), "near-triples"))
-    return components(materialise(links.unionByName(verify(pairs, docs)), "near-links"))
+    docs = materialise(docs.select("doc_id", "label", "text"), "near-open-texts")
+    rows = materialise(_prefixes(docs.withColumnRenamed("doc_id", "id")), "near-prefixes")
+    return components(materialise(links.unionByName(verify(_meeting(rows), docs)), "near-links"))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -258,6 +258,28 @@ def test_near_duplicates_in_crowded_buckets(spark):
     assert got == near_brute(table)
 
 
+@pytest.mark.parametrize("small", [8, 2])
+def test_near_duplicates_that_meet_in_crowds_only(spark, monkeypatch, small):
+    """Two texts share only what a crowd shares, and neither is near to the crowd's first text."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "SLICE", 16)
+    rnd = random.Random(31)
+    table = []
+    for g in range(2):
+        passage = prose(126, rnd)
+        for own in [28] * 120 + [8] * 2:
+            table.append((len(table), passage + " " + " ".join(f"w{len(table)}x{k}" for k in range(own))))
+    want = near_brute(table)
+    assert want[121] == 120 and want[243] == 242 and len(set(want.values())) == len(table) - 2
+    df = spark.createDataFrame([(i, t, None, None, None, "", "") for i, t in table], SCHEMA).repartition(3)
+    assert {r.doc_id: r.class_id for r in minhash.near_classes(df).collect()} == want
+
+
+def test_near_duplicates_with_small_buckets(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    test_near_duplicates_in_crowded_buckets(spark)
+
+
 def test_shards(docs):
     got = shards.shard(docs).collect()
     assert len(got) == len(rows())
