@@ -192,6 +192,64 @@ def test_language(spark):
     assert got[500].lang_pred == got[501].lang_pred == "und"
 
 
+def discount(counts):
+    ones, twos = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+    return ones / (ones + 2 * twos) if ones and twos else 0.75
+
+
+def kneser_ney_brute(counts):
+    by_order = {language.ORDER: Counter(counts)}
+    for n in range(language.ORDER - 1, 0, -1):
+        # In how many contexts, one symbol longer, a gram is seen.
+        by_order[n] = Counter(g[1:] for g in by_order[n + 1])
+    probability = {}
+    tables = []
+    for n in range(1, language.ORDER + 1):
+        grams, d = by_order[n], discount(by_order[n])
+        total = Counter()
+        kinds = Counter()
+        for g, c in grams.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        weight = {context: max(d * kinds[context] / total[context], 1e-9) for context in total}
+        current = {
+            g: max(c - d, 0.0) / total[g[:-1]]
+            + weight[g[:-1]] * (probability.get(g[1:], language.UNIFORM) if n > 1 else language.UNIFORM)
+            for g, c in grams.items()
+        }
+        tables.append((
+            ({g: np.log(max(p, 1e-12)) for g, p in current.items()}),
+            ({c: np.log(w) for c, w in weight.items()}),
+        ))
+        probability = current
+    return tables
+
+
+def test_language_keeps_every_gram(spark):
+    """Grams seen once among more than 131,072 count as well, and the tables equal those of plain dictionaries."""
+    table = [(i, "ab " * 60000, "aa", None, None, "", "") for i in range(6)]
+    table += [(10 + i, "cd " * 60000 + f"xyzq{'rstuvw'[i]}", "bb", None, None, "", "") for i in range(6)]
+    table.append((20, "xyzq xyzq", None, None, None, "", ""))
+    df = spark.createDataFrame(table, SCHEMA)
+    models = language.load(language.learn(df))
+    learned = {r.doc_id for r in df.where(~language.held_out(F.col("doc_id"))).collect()}
+    for lang in ("aa", "bb"):
+        counts = Counter()
+        for i, t, x, *_ in table:
+            for w in language.words(t) if x == lang and i in learned else ():
+                padded = language.BEGIN * (language.ORDER - 1) + w + language.END
+                counts.update(padded[k:k + language.ORDER] for k in range(len(padded) - language.ORDER + 1))
+        for got, want in zip(models[lang], kneser_ney_brute(counts), strict=True):
+            for (keys, values), expected in zip(got, want, strict=True):
+                hashed = {
+                    int(language.hashes(np.array(list(map(ord, g))), len(g))[0]) if g else 0: v for g, v in expected.items()
+                }
+                assert set(keys.tolist()) == set(hashed) and len(keys) == len(hashed)
+                assert all(abs(v - hashed[k]) < 1e-4 for k, v in zip(keys.tolist(), values.tolist()))
+    got = {r.doc_id: r.lang_pred for r in language.identify(df).collect()}
+    assert got[20] == "bb"
+
+
 def near_brute(table):
     sets = {}
     for i, t in table:
