@@ -96,6 +96,15 @@ def _(d: Data):
     return ranked.select("query_id", "id", F.col("trust_rank").cast("bigint").alias("trust_rank"))
 
 
+def _nearest_open(d: Data, radius: float):
+    rows = serve.nearest_open(_points(d), d.stores, F.lit(radius), 10, radius)
+    return rows.select(
+        "query_id", "id", "name", "place_type", "verification", F.col("trust_rank").cast("bigint").alias("trust_rank"),
+        F.floor(F.col("distance_m") + F.lit(0.5)).alias("distance_m"), "open_now.closes_at", "open_now.reason",
+        "open_now.hours_source",
+    )
+
+
 @query(
     "w5_nearest_open",
     "select query_id, id, name, place_type, verification, trust_rank, distance_m, closes_at, reason, hours_source from (select query_id, id, name, p as place_type, verification, "
@@ -103,13 +112,18 @@ def _(d: Data):
     + sql_verdict() + " as reason, src as hours_source from (@candidates) where sells and distance_m <= 1000) where trust_rank <= 10",
 )
 def _(d: Data):
-    radius = float(serve.DEFAULTS["radius_m"])
-    rows = serve.nearest_open(_points(d), d.stores, F.lit(radius), 10, radius)
-    return rows.select(
-        "query_id", "id", "name", "place_type", "verification", F.col("trust_rank").cast("bigint").alias("trust_rank"),
-        F.floor(F.col("distance_m") + F.lit(0.5)).alias("distance_m"), "open_now.closes_at", "open_now.reason",
-        "open_now.hours_source",
-    )
+    return _nearest_open(d, float(serve.DEFAULTS["radius_m"]))
+
+
+@query(
+    "w5_nearest_open_far",
+    "select query_id, id, name, place_type, verification, trust_rank, distance_m, closes_at, reason, hours_source from (select query_id, id, name, p as place_type, verification, "
+    "row_number() over (partition by query_id order by tier, floor(distance_m + 0.5), position) as trust_rank, cast(floor(distance_m + 0.5) as bigint) as distance_m, closes_at, "
+    + sql_verdict() + " as reason, src as hours_source from (@candidates) where sells) where trust_rank <= 10",
+)
+def _(d: Data):
+    # The largest radius that a request may ask for.
+    return _nearest_open(d, RADIUS)
 
 
 part(

@@ -31,3 +31,10 @@ def test_every_query_but_fingerprints_has_an_oracle():
     # The training-data queries have tests of their own.
     places = {name for name in QUERIES if not name.startswith("op") and name != "pipeline"}
     assert places - set(ORACLES) == {"s10_fingerprints"}
+
+
+def test_nearest_open_reaches_the_largest_radius(spark, data):
+    far = QUERIES["w5_nearest_open_far"](spark, data).groupBy("query_id").count().collect()
+    near = QUERIES["w5_nearest_open"](spark, data).groupBy("query_id").count().collect()
+    assert sum(r["count"] for r in far) > sum(r["count"] for r in near)
+    assert QUERIES["w5_nearest_open_far"](spark, data).where("distance_m > 1000").count() > 0
