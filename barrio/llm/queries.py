@@ -8,16 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrio.llm import bpe, exact, language, lines, minhash, mixing, rules, shards, suffixes, tokens
+from barrio.llm import (
+    bpe, exact, language, lines, minhash, mixing, rules, shards, spelling, suffixes, tokens, transducer, whitening,
+)
 from barrio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, source: str = "documents"):
     def register(fn: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(table(spark, folder, "documents"))
+        QUERIES[name] = lambda spark, folder: fn(table(spark, folder, source))
         if oracle:
             ORACLES[name] = oracle
         return fn
@@ -199,3 +201,20 @@ from d left join k using (r)
 @query("op10_line_dedup", LINES_SQL)
 def op10(docs: DataFrame) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op11_byte_bpe")
+def op11(docs: DataFrame) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return digests(transducer.encode_decode(docs, path, public_tokenizers.PATTERN))
+
+
+@query("op12_spelling_variants")
+def op12(docs: DataFrame) -> DataFrame:
+    return spelling.variants(docs)
+
+
+@query("op13_whitening", source="embeddings")
+def op13(rows: DataFrame) -> DataFrame:
+    # A deviation beyond the longs is null here; the operator itself gives it whole.
+    return whitening.whiten(rows).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
