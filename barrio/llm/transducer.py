@@ -23,9 +23,11 @@ other than doc_id and text are not looked at.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +69,8 @@ class Ranks:
         #: Node numbers by (node << 8 | byte); node 0 is the root.
         self.child: dict[int, int] = {}
         self.token_at: list[int | None] = [None]
-        self.inner = {0}
+        #: Nodes that longer tokens go through.
+        self.inner = [True]
         for token, rank in self.of.items():
             self.bytes_of[rank] = token
             node = 0
@@ -76,7 +79,8 @@ class Ranks:
                 if step not in self.child:
                     self.child[step] = len(self.token_at)
                     self.token_at.append(None)
-                    self.inner.add(node)
+                    self.inner.append(False)
+                    self.inner[node] = True
                 node = self.child[step]
             self.token_at[node] = rank
 
@@ -173,6 +177,8 @@ class Transducer:
 
     def __init__(self, ranks: Ranks) -> None:
         self.ranks, self.neighbours = ranks, Neighbours(ranks)
+        self.child, self.token_at, self.inner = ranks.child.get, ranks.token_at, ranks.inner
+        self.known = self.neighbours.known.get
         self.forget()
 
     def forget(self) -> None:
@@ -194,25 +200,32 @@ class Transducer:
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The next state, and the tokens that all beginnings left agree on."""
         last, beginnings = self.states[state]
-        child, token_at, inner = self.ranks.child, self.ranks.token_at, self.ranks.inner
+        child, token_at, inner = self.child, self.token_at, self.inner
         done, left = None, []
         for added, node in beginnings:
-            node = child.get(node << 8 | byte)
+            node = child(node << 8 | byte)
             if node is None:
                 continue
             if done is None and (token := token_at[node]) is not None:
-                if self.neighbours.may_follow(added[-1] if added else last, token):
+                before = added[-1] if added else last
+                follows = self.known((before, token))
+                if self.neighbours.may_follow(before, token) if follows is None else follows:
                     done = (*added, token)
             # The start of the piece is kept for one byte more, as the piece may be a token as a whole.
-            if node in inner or (last is None and not added):
+            if inner[node] or (last is None and not added):
                 left.append((added, node))
-        left.append((done, 0))
-        shared = 0
-        while shared < len(done) and all(len(a) > shared and a[shared] == done[shared] for a, _ in left):
-            shared += 1
-        out = done[:shared]
-        if shared:
-            last, left = out[-1], [(added[shared:], node) for added, node in left]
+        out = ()
+        if not left:
+            last, out, left = done[-1], done, [((), 0)]
+        else:
+            shared = 0
+            if left[0][0]:
+                while shared < len(done) and all(len(a) > shared and a[shared] == done[shared] for a, _ in left):
+                    shared += 1
+            left.append((done, 0))
+            if shared:
+                out = done[:shared]
+                last, left = out[-1], [(added[shared:], node) for added, node in left]
         found = self.moves[state << 8 | byte] = self.state(last, tuple(left)), out
         return found
 
@@ -307,9 +320,13 @@ class Encoder:
             lengths.append(len(pieces))
             numbers.append(np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces)))
         fresh, self.known.fresh = self.known.fresh, []
+        # States form no cycles; walking over all of them in search of some took a third of the time.
+        gc.disable()
         rows = [self.transducer.tokens(p.encode()) for p in fresh]
+        gc.freeze()
+        gc.enable()
         counts = np.array([len(r) for r in rows], np.int64)
-        self.store.append(np.fromiter((t for r in rows for t in r), np.int64, int(counts.sum())), counts)
+        self.store.append(np.fromiter(chain.from_iterable(rows), np.int64, int(counts.sum())), counts)
         which = np.concatenate(numbers)
         upto = np.concatenate([[0], np.cumsum(self.store.counts[which])])
         ends = np.cumsum(np.array(lengths, np.int64))
