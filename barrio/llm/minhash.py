@@ -19,7 +19,8 @@ Exact join. The shingles of a text are ordered by the number of those texts that
 m shingles are near only if they share (n + m) * 0.8 / 1.8 of them, so their first common shingle stands among the
 n - ceil(0.8 n) + 1 rarest of each, with at least that many left from there on in both. Texts of different classes that meet so are
 candidates; the lengths and places decide that before a text is read. In a crowd the rarest shingles are mostly a text's
-own, which join nothing. A shingle of many texts is joined by slices of both sides, so no group of unknown size is gathered anywhere.
+own, which join nothing. The join's tasks of a shingle with many texts are split by the planner, so no group of unknown size is gathered
+anywhere, and no row is made but the candidates.
 
 Verification recomputes the shingle sets of candidate pairs and keeps the pairs of 0.8 or more.
 
@@ -53,8 +54,6 @@ REGISTERS, ROWS = 63, 3
 BANDS = REGISTERS // ROWS
 #: Texts of a bucket up to which all pairs are candidates.
 SMALL = 8
-#: Texts of a slice of a shingle's texts in the exact join.
-SLICE = 128
 
 BLOCK_BYTES = 4 << 20
 WORDS = 200_000
@@ -228,21 +227,15 @@ def _prefixes(open_texts: DataFrame) -> DataFrame:
 
 def _meeting(rows: DataFrame) -> DataFrame:
     """Candidate pairs of different labels among the rows that `_prefixes` gives."""
-    sizes = rows.groupBy(F.col("key").alias("s_key")).agg(
-        F.ceil(F.count("*") / SLICE).cast("int").alias("slices"), F.min("label").alias("low"), F.max("label").alias("high"),
-    ).where(F.col("low") < F.col("high")).select("s_key", "slices")
-    cut = rows.join(materialise(sizes, "near-slices"), F.col("key") == F.col("s_key")).select(
-        "key", "id", "label", "n", "rest", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("own"),
-        F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"),
-    )
-    cut = materialise(cut, "near-cut")
-    one = cut.select("key", F.col("own").alias("s"), F.col("other").alias("t"), *[F.col(c).alias(f"{c}_a") for c in ("id", "label", "n", "rest")])
-    two = cut.select("key", F.col("other").alias("s"), F.col("own").alias("t"), *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "rest")])
+    held = rows.groupBy(F.col("key").alias("s_key")).agg(
+        F.min("label").alias("low"), F.max("label").alias("high"),
+    ).where(F.col("low") < F.col("high")).select("s_key")
+    # Read back, both sides are shuffled for the join, and the planner may split the tasks of a hot shingle.
+    rows = materialise(rows.join(materialise(held, "near-mixed"), F.col("key") == F.col("s_key")).drop("s_key"), "near-meeting")
+    one, two = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "ab")
     need = (F.col("n_a") + F.col("n_b")) * F.lit(SIMILAR / (1 + SIMILAR)) - F.lit(1e-6)
-    two = two.withColumnsRenamed({"key": "key_b", "s": "s_b", "t": "t_b"})
     both = one.join(two, (
-        (F.col("key") == F.col("key_b")) & (F.col("s") == F.col("s_b")) & (F.col("t") == F.col("t_b"))
-        & (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
+        (F.col("key_a") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
         & (F.least("rest_a", "rest_b") >= need)
     ))
     return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
@@ -342,7 +335,8 @@ def classes(docs: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size and kept, one row per document."""
     placed = materialise(classes(docs), "near-classes")
-    sizes = placed.groupBy(F.col("class_id").alias("s_class")).agg(F.count("*").alias("class_size"))
+    # Read back, both sides are shuffled for the join, and the planner may split a hot class.
+    sizes = materialise(placed.groupBy(F.col("class_id").alias("s_class")).agg(F.count("*").alias("class_size")), "near-sizes")
     sized = placed.join(sizes, F.col("class_id") == F.col("s_class"), "left")
     return sized.select(
         "doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"),

@@ -32,9 +32,10 @@ MOST = 2
 BITS, LEVELS = 15, 4
 
 
-def hash60(key: Column) -> Column:
-    """60 hash bits of a key; null counts as the empty string."""
-    digits = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15)
+def hash60(key: Column, text: Column) -> Column:
+    """60 hash bits of an id and a text, so that rows of one id are told apart; null counts as the empty string."""
+    both = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    digits = F.substring(F.md5(both), 1, 15)
     return F.conv(digits, 16, 10).cast("bigint")
 
 
@@ -102,7 +103,7 @@ def thresholds(items: DataFrame) -> DataFrame:
 
 def sized(docs: DataFrame) -> DataFrame:
     return docs.select(
-        "doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), hash60(F.col("doc_id")).alias("h"),
+        "doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("h"),
     )
 
 
@@ -123,7 +124,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     rules = thresholds(materialise(sized(docs), "mix-sizes"))
     packed = docs.select(
-        F.struct("*").alias("row"), F.col("source").alias("of"), hash60(F.col("doc_id")).alias("h"),
+        F.struct("*").alias("row"), F.col("source").alias("of"), hash60(F.col("doc_id"), F.col("text")).alias("h"),
     )
     times = F.col("passes") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
     taken = packed.join(rules, F.col("of").eqNullSafe(F.col("t_source"))).select(

@@ -115,7 +115,7 @@ MIXING_SQL = rf"""
 with d as (
     select row_number() over () as r, doc_id, source,
            len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size,
-           ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h from documents
+           ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 15))::bigint as h from documents
 ), s as (
     select source, sum(size)::bigint as source_size,
            [3, 1, 2][(row_number() over (order by source asc nulls last) - 1) % 3 + 1] as weight from d group by source

@@ -3,12 +3,13 @@
 A document fails the base rules if it has fewer than 50 words or if more than half of its words stand in
 three-word windows found twice or more in it. Of the others, the method decides: lines are normalised
 (blanks at their ends cut, lower case) and hashed, distinct documents are counted per host and line, lines
-above both limits are taken as removed, and a document is rejected as depleted if less than
-`least_left` of the characters of its lines is left.
+above both limits are removed, and a document is rejected as depleted if less than
+`least_left` of the characters of its lines is left. `quality` only judges; `keep_good` returns the documents without those lines.
 
 The host of a document is its `source`. Copies of a text within a host count as one document, so that
 a group of copies does not look like boilerplate. A line counts against a document only
-if more than `most_documents` distinct documents and more than `most_share` of the host's have it.
+if more than `most_documents` distinct documents and more than `most_share` of the host's have it. The first limit is a parameter
+for hosts of few documents, where a share of 1 in 100 would be one document: there no line counts.
 
 Scale: the counts of a text are array expressions of its own row. Only hashes of lines are shuffled, once per
 distinct (host, line, text); a very common line is counted by partial sums and its join is one that
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barrio.llm.common import BLANKS, content_key, let, packed, unpacked, words
+from barrio.session import materialise
 
 #: Fixed by the contract.
 SYMBOLS = "#*$%&|<>"
@@ -108,12 +110,15 @@ def shared_lines(lines: DataFrame, docs: DataFrame, most_documents: int, most_sh
     ).select(F.col("host").alias("s_host"), F.col("line").alias("s_line"))
 
 
-def depleted(
-    docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_share: float = MOST_SHARE, least_left: float = LEAST_LEFT,
-) -> DataFrame:
-    """(host, text) keys of the documents whose shared lines leave too little of them."""
+def judged_lines(docs: DataFrame, most_documents: int, most_share: float) -> tuple[DataFrame, DataFrame]:
+    """The lines of `host_lines`, and those above the limits as a written table."""
     lines = host_lines(docs)
-    shared = shared_lines(lines, docs, most_documents, most_share)
+    # Read back, both sides of a join are shuffled for it, and the planner may split a very common line.
+    return lines, materialise(shared_lines(lines, docs, most_documents, most_share), "rules-shared")
+
+
+def depleted(docs: DataFrame, lines: DataFrame, shared: DataFrame, least_left: float = LEAST_LEFT) -> DataFrame:
+    """(host, text) keys of the documents whose shared lines leave too little of them."""
     # Copies of a text within a host add up on both sides of the comparison.
     per_line = lines.groupBy("host", "content_a", "content_b", "line").agg(
         F.sum("n").alias("n"),
@@ -141,7 +146,9 @@ def _is_depleted(df: DataFrame, bad: DataFrame) -> DataFrame:
     return df.join(bad, key, "left")
 
 
-def quality(docs: DataFrame, **limits) -> DataFrame:
+def quality(
+    docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_share: float = MOST_SHARE, least_left: float = LEAST_LEFT,
+) -> DataFrame:
     """doc_id, the base counts, base_failed, depleted and kept, one row per document."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
@@ -151,7 +158,8 @@ def quality(docs: DataFrame, **limits) -> DataFrame:
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
     )
-    judged = _is_depleted(counted.withColumn("base_failed", failed(F.col("counts"))), depleted(docs, **limits))
+    bad = depleted(docs, *judged_lines(docs, most_documents, most_share), least_left)
+    judged = _is_depleted(counted.withColumn("base_failed", failed(F.col("counts"))), bad)
     gone = F.col("d_a").isNotNull()
     return judged.select(
         "doc_id", "counts.n_words", "word_chars", "n_symbols", "n_dup_lines", "counts.n_repeat_words", "base_failed",
@@ -159,7 +167,19 @@ def quality(docs: DataFrame, **limits) -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that `quality` keeps, with all their columns."""
-    sound = packed(docs).where(~failed(word_counts(F.col("text")))).select("row", "source", *content_key(F.col("text")))
-    return unpacked(_is_depleted(sound, depleted(docs, **limits)).where(F.col("d_a").isNull()), docs.columns)
+def keep_good(
+    docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_share: float = MOST_SHARE, least_left: float = LEAST_LEFT,
+) -> DataFrame:
+    """The documents that `quality` keeps, without the lines above the limits; all columns as given.
+
+    Per host these lines are at most 1 / `most_share` times the mean number of lines of its documents, so their hashes
+    travel as one list a host.
+    """
+    lines, shared = judged_lines(docs, most_documents, most_share)
+    sound = packed(docs).where(~failed(word_counts(F.col("text")))).select("row", "text", "source", *content_key(F.col("text")))
+    kept = _is_depleted(sound, depleted(docs, lines, shared, least_left)).where(F.col("d_a").isNull())
+    lists = materialise(shared.groupBy("s_host").agg(F.sort_array(F.collect_set("s_line")).alias("hashes")), "rules-lists")
+    listed = kept.join(lists, F.col("source").eqNullSafe(F.col("s_host")), "left")
+    drop = lambda x: (F.trim(x) != "") & F.array_contains("hashes", F.xxhash64(F.trim(F.lower(x))))
+    clean = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~drop(x)), "\n")
+    return unpacked(listed, docs.columns, F.when(F.col("hashes").isNull(), F.col("text")).otherwise(clean))

@@ -59,7 +59,7 @@ def shard(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     blocks = max(1, docs.count() // (n_shards * BLOCK_ROWS))
     placed = rows.withColumn("shards", jump_shards(key, (n_shards, n_shards + 1))).select(
         "*", F.col("shards")[0].alias("shard"), F.col("shards")[1].alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit(-1), key), F.lit(blocks)).alias("block"),
+        F.pmod(F.xxhash64(F.lit(-1), key, "text_crc32", "size"), F.lit(blocks)).alias("block"),
     )
     counted = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -320,7 +320,6 @@ def test_near_duplicates_in_crowded_buckets(spark):
 def test_near_duplicates_that_meet_in_crowds_only(spark, monkeypatch, small):
     """Two texts share only what a crowd shares, and neither is near to the crowd's first text."""
     monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "SLICE", 16)
     rnd = random.Random(31)
     table = []
     for g in range(2):
@@ -404,9 +403,10 @@ def good_brute(table):
         if len(found) < 50 or 100 * len(covered) > 50 * len(found):
             continue
         total = len(t.replace("\n", ""))
-        gone = sum(len(x) for x in lines(t) if len(having[s, x]) > max(50, 0.01 * len(pages[s])))
+        shared = lambda x: len(having[s, x]) > max(50, 0.01 * len(pages[s]))
+        gone = sum(len(x) for x in lines(t) if shared(x))
         if total - gone >= 0.2 * total:
-            left.append((i, t, s))
+            left.append((i, "\n".join(x for x in t.split("\n") if not (x.strip(" ") and shared(x.lower().strip(" ")))), s))
     return left
 
 
@@ -428,7 +428,7 @@ def mix_brute(table):
     sizes, by = Counter(), defaultdict(list)
     for i, t, s in table:
         sizes[s] += len(words(t))
-        by[s].append((int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), i, t))
+        by[s].append((int(hashlib.md5(f"{i}:{t}".encode()).hexdigest()[:15], 16), i, t))
     out = Counter()
     for s, target in shares(sizes).items():
         passes = int(target // sizes[s]) if sizes[s] else 0
@@ -448,6 +448,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         source = ("s1", "s2", "s3", None)[k % 7 % 4]
         table.append((100 + k, f"{menu}\n{prose(60 + k, rnd)}\n\nown ending {k}" if k % 3 else prose(80, rnd), source))
     table += [(200 + k, f"{footer}\n{k}", "s4") for k in range(60)]
+    table += [(500 + k, f"{prose(70, rnd)}\n{menu}\n{prose(9, rnd)}", "s5") for k in range(60)]
     table += [(300 + k, table[30 + k % 5][1], table[30 + k % 5][2]) for k in range(12)]
     table += [(400 + k, f"{table[40 + k % 4][1]} extra{k}", "s2") for k in range(9)]
     df = spark.createDataFrame([(i, t, None, s, None, "clash", "clash") for i, t, s in table], SCHEMA)

@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from test_operators import ODD, SCHEMA, rows
 
-from barrio.llm import queries, spelling, transducer, whitening
+from barrio.llm import minhash, mixing, queries, rules, shards, spelling, transducer, whitening
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -248,3 +248,51 @@ def test_whitening_query(spark, data):
     assert dict(got.dtypes)["deviation"] == "bigint"
     top = got.agg(F.count("*"), F.max("identity_error"), F.count("deviation")).first()
     assert top[0] == top[2] == 16 * rows.count() and top[1] < 1e-6
+
+
+def test_mixture_with_null_and_repeated_ids(spark):
+    rnd = random.Random(6)
+    table = [(None if i % 2 else 7, " ".join(rnd.choice("abcdefgh") * 3 for _ in range(10)) + f" {i}", "s1") for i in range(1800)]
+    table += [(i, "one two three four", "s2") for i in range(3000)]
+    df = spark.createDataFrame(table, "doc_id bigint, text string, source string").repartition(4)
+    got = mixing.mixture(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(got) == 2 and all(abs(r["taken"] - r["target"]) < 0.01 * r["target"] for r in got)
+
+
+def test_shards_keep_their_law(spark, monkeypatch):
+    monkeypatch.setattr(shards, "BLOCK_ROWS", 20)
+    rnd = random.Random(9)
+    table = [(rnd.choice([None, 5, i]), rnd.choice(["", "é", None, f"text {i}"])) for i in range(3000)]
+    df = spark.createDataFrame(table, "doc_id bigint, text string").repartition(4)
+    got = shards.shard(df).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter(
+        (i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in table)
+    assert {r["law"] for r in got} == {"key"} and {r["shard"] for r in got} <= set(range(24))
+    slots, place = {}, {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        # The id alone decides, and one more shard only takes rows into itself.
+        assert place.setdefault(r["doc_id"], (r["shard"], r["grown_shard"])) == (r["shard"], r["grown_shard"])
+        assert r["grown_shard"] in (r["shard"], 24)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    rnd = random.Random(12)
+    words = [" ".join(rnd.choice("abcdefghij") + rnd.choice("klmnop") for _ in range(60)) for _ in range(3)]
+    table = [(1, words[0]), (1, words[1]), (2, words[0] + " end"), (None, words[0]), (None, words[2]), (4, words[2]), (4, words[2]), (5, None), (6, "")]
+    got = minhash.near_classes(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    assert len(got) == len(table)
+    of = {}
+    for r in got:
+        of.setdefault(r["doc_id"], set()).add(r["class_id"])
+    assert of[1] == of[2] == {1} and of[4] == {4} and 4 in of[None] and of[5] == of[6] == {5}
+
+
+def test_rules_remove_lines_above_the_limits(spark):
+    rnd = random.Random(3)
+    own = [" ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(60)) for _ in range(60)]
+    table = [(i, f"Menu line \n{t}\n\nmenu LINE", "h1") for i, t in enumerate(own)] + [(100, f"menu line\n{own[0]}", None)]
+    df = spark.createDataFrame(table, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in rules.keep_good(df).collect()}
+    assert got == {i: f"{t}\n" for i, t in enumerate(own)} | {100: f"menu line\n{own[0]}"}
