@@ -40,7 +40,7 @@ from barrio.llm.common import Numbering, Store, blocks, texts
 
 #: Bytes of text that are encoded together; distinct pieces, states and token pairs that a worker remembers.
 BLOCK_BYTES = 6 << 20
-PIECES, STATES, PAIRS = 250_000, 200_000, 1_000_000
+PIECES, STATES, PAIRS = 250_000, 400_000, 1_000_000
 
 
 def merge(ranks: dict[bytes, int], piece: bytes) -> tuple[list[int], int]:
@@ -109,7 +109,7 @@ class Neighbours:
         return self.cuts[token]
 
     def _spine(self, rank: int, last: bool) -> list[tuple[int, bytes]] | None:
-        """The last or first parts of a token in the order of making; None if their ranks do not rise."""
+        """The last or first parts of a token in the order of making; None if merges do not go by rank alone."""
         if (rank, last) not in self.spines:
             part, out = self.bytes_of[rank], []
             while part:
@@ -118,8 +118,7 @@ class Neighbours:
                     break
                 out.append((self.of[part] if cut else -1, part))
                 part = (part[cut:] if last else part[:cut]) if cut else b""
-            rises = all(a[0] > b[0] for a, b in zip(out, out[1:])) and not part
-            self.spines[rank, last] = out[::-1] if rises else None
+            self.spines[rank, last] = None if part or not self._plain(rank) else out[::-1]
         return self.spines[rank, last]
 
     def may_follow(self, before: int | None, token: int) -> bool:
@@ -136,7 +135,7 @@ class Neighbours:
         if before is None:
             return self._cut(self.bytes_of[token]) is not None
         left, right = self._spine(before, True), self._spine(token, False)
-        if left is None or right is None or not self._plain(before) or not self._plain(token):
+        if left is None or right is None:
             return merge(self.of, self.bytes_of[before] + self.bytes_of[token])[0] == [before, token]
         i = j = 0
         none = len(self.bytes_of)
