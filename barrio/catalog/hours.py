@@ -98,8 +98,8 @@ def _(d: Data):
 
 part(
     "instant_pairs",
-    "select q.query_id, q.at_time, f.week_min, f.day_min, o.id, o.place_type, o.sells_takeaway_beer, o.hours, o.hours_source from (@fx_query_points) q join (@local_instants) f on f.query_id = q.query_id "
-    "join (@effective) o on abs(o.id) % 1000 = q.query_id",
+    "select *, (isodow(l) - 1) * 1440 + hour(l) * 60 + minute(l) as week_min, hour(l) * 60 + minute(l) as day_min from (select *, at_time at time zone 'UTC' at time zone 'Europe/Madrid' as l from ("
+    "select id, place_type, sells_takeaway_beer, hours, hours_source, timestamp '2026-01-01 00:00:00' + to_minutes(cast(abs(id) * 7919 % 525600 as int)) as at_time from (@effective)))",
 )
 part(
     "instant_states",
@@ -109,19 +109,20 @@ part(
 
 
 def _instant_pairs(d: Data):
-    """Every place of every source at one instant."""
-    q = d.fx_query_points.select("query_id", "at_time")
-    return q.join(d.stores.withColumn("query_id", F.abs("id") % 1000), "query_id")
+    """Every place of every source at an instant of its own, spread over the minutes of a year."""
+    minutes = (F.abs("id") * 7919 % 525600).cast("int")
+    start = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+    return d.stores.withColumn("at_time", start + F.make_dt_interval(mins=minutes))
 
 
-@query("o3_is_open_at", "select query_id, id, is_open, closes_at from (@instant_states)")
+@query("o3_is_open_at", "select id, is_open, closes_at from (@instant_states)")
 def _(d: Data):
     h, _ = hours.effective_hours(F.col("opening_hours_osm"), F.col("opening_hours_web"), F.col("place_type"))
     week = hours.minute_of_week(F.col("at_time")).alias("week")
-    rows = _instant_pairs(d).select("query_id", week, "id", h.alias("hours"))
+    rows = _instant_pairs(d).select(week, "id", h.alias("hours"))
     rows = hours.attach_schedules(rows, "hours")
     is_open, closes = hours.open_state(F.col("open_spans"), F.col("week"))
-    return rows.select("query_id", "id", is_open.alias("is_open"), closes.alias("closes_at"))
+    return rows.select("id", is_open.alias("is_open"), closes.alias("closes_at"))
 
 
 @query(
@@ -137,11 +138,11 @@ def _(d: Data):
 
 @query(
     "o5_can_sell",
-    "select query_id, id, o as open, case when o then closes_at end as closes_at, o and (p = 'bar' or (take and not ban)) as sells_beer_now, " + sql_verdict() + " as reason, src as hours_source "
-    "from (select query_id, id, is_open as o, closes_at, place_type as p, sells_takeaway_beer as take, hours_source as src, day_min >= 1320 or day_min < 540 as ban from (@instant_states))",
+    "select id, o as open, case when o then closes_at end as closes_at, o and (p = 'bar' or (take and not ban)) as sells_beer_now, " + sql_verdict() + " as reason, src as hours_source "
+    "from (select id, is_open as o, closes_at, place_type as p, sells_takeaway_beer as take, hours_source as src, day_min >= 1320 or day_min < 540 as ban from (@instant_states))",
 )
 def _(d: Data):
-    return hours.with_open_now(_instant_pairs(d), "at_time").select("query_id", "id", "open_now.*")
+    return hours.with_open_now(_instant_pairs(d), "at_time").select("id", "open_now.*")
 
 
 # The JSON-LD statements of the five page kinds; the pages' own markup holds none.

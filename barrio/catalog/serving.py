@@ -97,7 +97,7 @@ def _(d: Data):
 
 
 def _nearest_open(d: Data, radius: float):
-    rows = serve.nearest_open(_points(d), d.stores, F.lit(radius), 10, radius)
+    rows = serve.nearest_open(_points(d), d.stores, F.lit(radius), 10)
     return rows.select(
         "query_id", "id", "name", "place_type", "verification", F.col("trust_rank").cast("bigint").alias("trust_rank"),
         F.floor(F.col("distance_m") + F.lit(0.5)).alias("distance_m"), "open_now.closes_at", "open_now.reason",
@@ -109,9 +109,20 @@ def _nearest_open(d: Data, radius: float):
     "w5_nearest_open",
     "select query_id, id, name, place_type, verification, trust_rank, distance_m, closes_at, reason, hours_source from (select query_id, id, name, p as place_type, verification, "
     "row_number() over (partition by query_id order by tier, floor(distance_m + 0.5), position) as trust_rank, cast(floor(distance_m + 0.5) as bigint) as distance_m, closes_at, "
+    + sql_verdict() + " as reason, src as hours_source from (@candidates) where sells) where trust_rank <= 10",
+)
+def _(d: Data):
+    return _nearest_open(d, RADIUS)
+
+
+@query(
+    "w5_nearest_open_default",
+    "select query_id, id, name, place_type, verification, trust_rank, distance_m, closes_at, reason, hours_source from (select query_id, id, name, p as place_type, verification, "
+    "row_number() over (partition by query_id order by tier, floor(distance_m + 0.5), position) as trust_rank, cast(floor(distance_m + 0.5) as bigint) as distance_m, closes_at, "
     + sql_verdict() + " as reason, src as hours_source from (@candidates) where sells and distance_m <= 1000) where trust_rank <= 10",
 )
 def _(d: Data):
+    # What a request that names no radius gets.
     return _nearest_open(d, float(serve.DEFAULTS["radius_m"]))
 
 
@@ -126,6 +137,39 @@ def _(d: Data):
     return _nearest_open(d, RADIUS)
 
 
+part(
+    "requests",
+    "select *, case when k % 4 = 0 then 'consume_aqui' when k % 4 = 1 then 'para_llevar' end as intent, case when k % 5 = 0 then 'bar,bodega' end as types, k % 3 = 0 as hide_chains, "
+    "case when k % 7 = 0 then 'high' end as confidence, k % 2 = 0 as open_now, 500 + (k % 10) * 500 as radius_m, 5 + k % 20 as lim from (select *, query_id // 50 as k from (@fx_query_points))",
+)
+
+
+@query(
+    "n30_nearby_requests",
+    "select query_id, id, verification, address, district, neighbourhood, prohibited, row_number() over (partition by query_id order by tier, floor(distance_m + 0.5), distance_m, id) as trust_rank, "
+    "cast(floor(distance_m + 0.5) as bigint) as distance_m, sells as sells_beer_now, reason from (select *, row_number() over (partition by query_id order by case when open_now then tier else 0 end, "
+    "case when open_now then floor(distance_m + 0.5) else 0 end, distance_m, id) as place from (select c.query_id, c.id, c.distance_m, c.verification, c.tier, coalesce(c.sells, false) as sells, c.ban as prohibited, "
+    "f.address, f.district, f.neighbourhood, q.open_now, q.lim, " + sql_verdict() + " as reason "
+    "from (@candidates) c join (@requests) q on q.query_id = c.query_id join (@fx_places) s on s.id = c.id join (@filled) f on f.id = c.id where c.distance_m <= q.radius_m "
+    "and (q.intent is null or case when q.intent = 'consume_aqui' then s.sells_onsite_beer else s.sells_takeaway_beer end) and (q.types is null or list_contains(string_split(q.types, ','), s.place_type)) "
+    "and not (q.hide_chains and s.is_chain) and (q.confidence is null or s.confidence_level = q.confidence) and (not q.open_now or c.sells))) where place <= lim",
+)
+def _(d: Data):
+    k = F.floor(F.col("query_id") / 50)
+    requests = _points(d).select(
+        "query_id", "lat", "lng", "at_time", F.when(k % 4 == 0, "consume_aqui").when(k % 4 == 1, "para_llevar").alias("intent"),
+        F.when(k % 5 == 0, F.array(F.lit("bar"), F.lit("bodega"))).alias("place_types"), (k % 3 == 0).alias("hide_chains"),
+        F.when(k % 7 == 0, "high").alias("confidence"), (k % 2 == 0).alias("open_now"), (500 + (k % 10) * 500).alias("radius_m"),
+        (5 + k % 20).cast("int").alias("limit"),
+    )
+    rows = serve.with_evidence(serve.nearby(requests, d.stores, RADIUS), d.stores)
+    return rows.select(
+        "query_id", "id", "verification", "address", "district", "neighbourhood", F.col("takeaway_prohibited").alias("prohibited"),
+        F.col("trust_rank").cast("bigint").alias("trust_rank"), F.floor(F.col("distance_m") + F.lit(0.5)).alias("distance_m"),
+        "open_now.sells_beer_now", "open_now.reason",
+    )
+
+
 part(
     "sampled",
     "select * from (select *, row_number() over (partition by view_id order by md5(cast(id as varchar)), id) as sample_rank from (@in_view)) where sample_rank <= 100",

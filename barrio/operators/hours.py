@@ -237,15 +237,17 @@ def clock_text(minute: Column) -> Column:
     return F.concat(two(F.floor(of_day / 60)), F.lit(":"), two(of_day % 60))
 
 
-def attach_schedules(df: DataFrame, column: str) -> DataFrame:
-    """Add the compiled `open_spans` of a schedule column.
-
-    Each distinct text is compiled once and written, as the compiled form is read by every row.
-    """
+def compiled_schedules(df: DataFrame, column: str) -> DataFrame:
+    """schedule, open_spans of the distinct texts of a column, written, as the compiled form is read by every row."""
     used = df.where(F.col(column).isNotNull()).select(F.col(column).alias("schedule")).distinct()
-    compiled = materialise(compile_schedules(used), "schedules")
-    lookup_table = compiled.select(F.col("schedule").alias(column), "open_spans")
-    return df.join(lookup_table, column, "left")
+    return materialise(compile_schedules(used), "schedules").select("schedule", "open_spans")
+
+
+def attach_schedules(df: DataFrame, column: str, compiled: DataFrame | None = None) -> DataFrame:
+    """Add the compiled `open_spans` of a schedule column, from `compiled` if that is at hand."""
+    if compiled is None:
+        compiled = compiled_schedules(df, column)
+    return df.join(compiled.withColumnRenamed("schedule", column), column, "left")
 
 
 def open_state(open_spans: Column, week_minute: Column) -> tuple[Column, Column]:
@@ -290,28 +292,51 @@ def verdict(place_type: Column, takeaway: Column, source: Column, is_open: Colum
     )
 
 
+def with_hours(places: DataFrame) -> DataFrame:
+    """Add the schedule that holds for a place and where it comes from, as `_hours` and `_source`."""
+    hours, source = effective_hours(
+        F.col("opening_hours_osm"), F.col("opening_hours_web"), F.col("place_type")
+    )
+    return places.select("*", hours.alias("_hours"), source.alias("_source"))
+
+
+def states_at(compiled: DataFrame, minutes: DataFrame) -> DataFrame:
+    """_hours, _week, _open, _closes: the schedules that are open at the minutes of the week asked for (column `_week`).
+
+    A schedule has one row at most for each of the 10,080 minutes. A place and an instant then find their state by equality.
+    """
+    spans = compiled.select("schedule", F.explode("open_spans").alias("s")).select(
+        F.col("schedule").alias("_hours"), F.col("s.until_min").alias("until"),
+        F.explode(F.sequence("s.start_min", F.col("s.end_min") - 1)).alias("_week"),
+    )
+    asked = minutes.select("_week").distinct()
+    found = spans.join(asked, "_week", "left_semi")
+    closes = F.when(F.col("until").isNotNull(), clock_text(F.col("until")))
+    return materialise(found.select("_hours", "_week", F.lit(True).alias("_open"), closes.alias("_closes")), "states")
+
+
 def with_open_now(df: DataFrame, instant: str) -> DataFrame:
     """Add the `open_now` struct to rows of places at instants.
 
     Needs place_type, sells_takeaway_beer, opening_hours_osm and opening_hours_web.
     """
-    hours, source = effective_hours(
-        F.col("opening_hours_osm"), F.col("opening_hours_web"), F.col("place_type")
-    )
-    rows = df.select(
-        "*", hours.alias("_hours"), source.alias("_source"), minute_of_week(F.col(instant)).alias("_week")
-    )
-    rows = attach_schedules(rows, "_hours")
+    rows = attach_schedules(with_hours(df).withColumn("_week", minute_of_week(F.col(instant))), "_hours")
     is_open, closes_at = open_state(F.col("open_spans"), F.col("_week"))
     # The state leaves through a generator, so that a later filter on it is not folded back into
     # a second search of the spans.
     rows = rows.select("*", F.inline(F.array(F.struct(is_open.alias("_open"), closes_at.alias("_closes")))))
+    return with_verdict(rows.drop("open_spans"))
+
+
+def with_verdict(rows: DataFrame) -> DataFrame:
+    """Add `open_now` and `takeaway_prohibited` to rows with _source, _week, _open and _closes; these and _hours go."""
     day_minute = F.col("_week") % DAY_MIN
     prohibited = (day_minute >= ORDINANCE_FROM_MIN) | (day_minute < ORDINANCE_TO_MIN)
     block = verdict(
         F.col("place_type"), F.col("sells_takeaway_beer"), F.col("_source"), F.col("_open"), F.col("_closes"), prohibited
     )
-    return rows.withColumn("open_now", block).drop("_hours", "_source", "_week", "_open", "_closes", "open_spans")
+    rows = rows.withColumns({"open_now": block, "takeaway_prohibited": prohibited})
+    return rows.drop("_hours", "_source", "_week", "_open", "_closes")
 
 
 # --- validity and crawl results -----------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barrio.functions.classify import lookup
 from barrio.functions.geo import lat_step, lng_step
 from barrio.operators.gridjoin import in_boxes, with_cell, with_reach, within_distance
-from barrio.operators.hours import with_open_now
+from barrio.operators.hours import compiled_schedules, minute_of_week, states_at, with_hours, with_open_now, with_verdict
 from barrio.operators.keyed import keyed_join
 from barrio.session import materialise
 
@@ -214,21 +214,84 @@ def trust_ranking(rows: DataFrame, out: str = "trust_rank") -> DataFrame:
     return rows.withColumn(out, F.row_number().over(order))
 
 
-def nearest_open(queries: DataFrame, stores: DataFrame, radius: Column, limit: int, cell_m: float) -> DataFrame:
+#: Shares of the radius that are searched one after the other.
+RINGS = (0.125, 0.25, 0.5, 1.0)
+
+#: What a request holds besides query_id, lat, lng, at_time and radius_m: type, and what holds where it says nothing.
+REQUEST = {
+    "intent": ("string", None), "place_types": ("array<string>", None), "hide_chains": ("boolean", False),
+    "confidence": ("string", None), "open_now": ("boolean", False), "limit": ("int", DEFAULTS["limit"]),
+}
+
+
+def passes(request: str, place: str) -> Column:
+    """A place passes the filters of a request; both are prefixes of columns. Null asks for nothing."""
+    r, p = (lambda c: F.col(request + c)), (lambda c: F.col(place + c))
+    intent = F.when(r("intent") == "consume_aqui", p("sells_onsite_beer")).when(
+        r("intent") == "para_llevar", p("sells_takeaway_beer")).otherwise(F.lit(True))
+    return (
+        intent & F.coalesce(F.array_contains(r("place_types"), p("place_type")), F.lit(True))
+        & ~(F.coalesce(r("hide_chains"), F.lit(False)) & p("is_chain"))
+        & F.coalesce(p("confidence_level") == r("confidence"), F.lit(True))
+    )
+
+
+def nearby(requests: DataFrame, stores: DataFrame, most_radius: float, most_rows: int = NEARBY_DOMAIN["limit"][1]) -> DataFrame:
+    """The answer to each request, a row a place, with `distance_m`, `open_now`, `verification` and `trust_rank`.
+
+    A request has its own place, instant, radius, limit and filters (`REQUEST`, null or absent for none). Asked for
+    places that can sell now, it gets the first of them in the order of trust and distance; else the nearest places, in that order.
+
+    The radius is searched in rings, each of twice the width. A request is answered as soon as no place farther out can come
+    before what is found: its limit is reached, by corroborated places if it asks for open ones. Only the others go on to the next
+    ring, so a request in a dense area meets a few times its limit of places, and one that finds little gets its full circle.
+    The schedules of all places are compiled once, before any join, and looked up by schedule and minute of the week.
+    """
+    said = lambda c, kind: F.col(c) if c in requests.columns else F.lit(None).cast(kind)
+    asked = requests.select(
+        "query_id", "lat", "lng", F.least(F.col("radius_m"), F.lit(most_radius)).cast("double").alias("_full"),
+        minute_of_week(F.col("at_time")).alias("_week"),
+        *[F.coalesce(said(c, kind), F.lit(v).cast(kind)).alias(f"r_{c}") for c, (kind, v) in REQUEST.items()],
+    )
+    asked = materialise(asked, "requests")
+    places = with_hours(served(stores).select(
+        "id", "lat", "lng", "name", "place_type", "sells_onsite_beer", "sells_takeaway_beer", "is_chain", "confidence_level",
+        "opening_hours_osm", "opening_hours_web", "source_name", "matched_censo_source", "matched_censo_local_id",
+        "address", "district", "neighbourhood",
+    )).drop("opening_hours_osm", "opening_hours_web")
+    states = states_at(compiled_schedules(places, "_hours"), asked)
+    (tier, metres), by_trust = _trust_order(), F.col("r_open_now")
+    order = [F.when(by_trust, tier).otherwise(0), F.when(by_trust, metres).otherwise(0), F.col("distance_m"), F.col("id")]
+    answers = []
+    for share in RINGS:
+        rows = places_in_radius(asked, places, F.col("_full") * share, most_radius * share).where(passes("r_", ""))
+        rows = rows.join(states, ["_hours", "_week"], "left").withColumn("_open", F.coalesce("_open", F.lit(False)))
+        rows = with_verdict(rows).where(~by_trust | F.col("open_now.sells_beer_now"))
+        rows = rows.withColumn("verification", verification(F.col("source_name"), F.col("matched_censo_source")))
+        found = materialise(top_k(rows, ["query_id"], order, most_rows, "_place", "id").where(F.col("_place") <= F.col("r_limit")), "ring")
+        if share == RINGS[-1]:
+            answers.append(found)
+            break
+        sure = found.where(~by_trust | (tier == 0)).groupBy("query_id", "r_limit").agg(F.count("*").alias("n"))
+        done = materialise(sure.where(F.col("n") >= F.col("r_limit")).select(F.col("query_id").alias("_done")), "answered")
+        answers.append(found.join(done, F.col("query_id") == F.col("_done"), "left_semi"))
+        asked = materialise(asked.join(done, F.col("query_id") == F.col("_done"), "left_anti"), "requests")
+    whole = answers[0]
+    for answer in answers[1:]:
+        whole = whole.unionByName(answer)
+    ranked = Window.partitionBy("query_id").orderBy(*_trust_order(F.col("distance_m"), F.col("id")))
+    return whole.withColumn("trust_rank", F.row_number().over(ranked)).drop("_full", "_place", "c_lat", "c_lng", *[f"r_{c}" for c in REQUEST])
+
+
+def nearest_open(queries: DataFrame, stores: DataFrame, radius: Column, limit: int) -> DataFrame:
     """The places that can sell at the query's instant, most trusted first, then nearest; `limit` per query.
 
-    Every place within the radius is tested before the limit, so no open place hides behind closed ones.
-    Only columns needed for the verdict travel through the join.
+    Every place within the radius counts, so no open place hides behind closed ones.
     """
-    columns = [
-        "id", "lat", "lng", "name", "place_type", "sells_takeaway_beer", "opening_hours_osm",
-        "opening_hours_web", "source_name", "matched_censo_source",
-    ]
-    rows = places_in_radius(queries, served(stores).select(*columns), radius, cell_m)
-    rows = with_open_now(rows, "at_time").where("open_now.sells_beer_now")
-    rows = rows.withColumn("verification", verification(F.col("source_name"), F.col("matched_censo_source")))
-    order = _trust_order(F.col("distance_m"), F.col("id"))
-    return top_k(rows, ["query_id"], order, limit, "trust_rank", "id")
+    requests = queries.select(
+        "query_id", "lat", "lng", "at_time", radius.alias("radius_m"), F.lit(True).alias("open_now"), F.lit(limit).alias("limit"),
+    )
+    return nearby(requests, stores, float(NEARBY_DOMAIN["radius_m"][1]), limit)
 
 
 # --- viewports ----------------------------------------------------------------

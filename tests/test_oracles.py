@@ -35,6 +35,6 @@ def test_every_query_but_fingerprints_has_an_oracle():
 
 def test_nearest_open_reaches_the_largest_radius(spark, data):
     far = QUERIES["w5_nearest_open_far"](spark, data).groupBy("query_id").count().collect()
-    near = QUERIES["w5_nearest_open"](spark, data).groupBy("query_id").count().collect()
+    near = QUERIES["w5_nearest_open_default"](spark, data).groupBy("query_id").count().collect()
     assert sum(r["count"] for r in far) > sum(r["count"] for r in near)
     assert QUERIES["w5_nearest_open_far"](spark, data).where("distance_m > 1000").count() > 0
