@@ -328,6 +328,13 @@ def with_open_now(df: DataFrame, instant: str) -> DataFrame:
     return with_verdict(rows.drop("open_spans"))
 
 
+def sells_at(place_type: Column, takeaway: Column, is_open: Column, week_minute: Column) -> Column:
+    """The sale verdict alone, of a place whose schedule is open or not at a minute of the week."""
+    day_minute = week_minute % DAY_MIN
+    prohibited = (day_minute >= ORDINANCE_FROM_MIN) | (day_minute < ORDINANCE_TO_MIN)
+    return is_open & ((F.coalesce(place_type, F.lit("otro")) == "bar") | (takeaway & ~prohibited))
+
+
 def with_verdict(rows: DataFrame) -> DataFrame:
     """Add `open_now` and `takeaway_prohibited` to rows with _source, _week, _open and _closes; these and _hours go."""
     day_minute = F.col("_week") % DAY_MIN

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barrio.functions.classify import lookup
 from barrio.functions.geo import lat_step, lng_step
 from barrio.operators.gridjoin import in_boxes, with_cell, with_reach, within_distance
-from barrio.operators.hours import compiled_schedules, minute_of_week, states_at, with_hours, with_open_now, with_verdict
+from barrio.operators.hours import compiled_schedules, minute_of_week, sells_at, states_at, with_hours, with_open_now, with_verdict
 from barrio.operators.keyed import keyed_join
 from barrio.session import materialise
 
@@ -254,11 +254,12 @@ def nearby(requests: DataFrame, stores: DataFrame, most_radius: float, most_rows
         *[F.coalesce(said(c, kind), F.lit(v).cast(kind)).alias(f"r_{c}") for c, (kind, v) in REQUEST.items()],
     )
     asked = materialise(asked, "requests")
-    places = with_hours(served(stores).select(
+    # Written, so that the choice of a schedule is made once a place and not once a pair.
+    places = materialise(with_hours(served(stores).select(
         "id", "lat", "lng", "name", "place_type", "sells_onsite_beer", "sells_takeaway_beer", "is_chain", "confidence_level",
         "opening_hours_osm", "opening_hours_web", "source_name", "matched_censo_source", "matched_censo_local_id",
         "address", "district", "neighbourhood",
-    )).drop("opening_hours_osm", "opening_hours_web")
+    )).drop("opening_hours_osm", "opening_hours_web"), "open-places")
     states = states_at(compiled_schedules(places, "_hours"), asked)
     (tier, metres), by_trust = _trust_order(), F.col("r_open_now")
     order = [F.when(by_trust, tier).otherwise(0), F.when(by_trust, metres).otherwise(0), F.col("distance_m"), F.col("id")]
@@ -266,8 +267,11 @@ def nearby(requests: DataFrame, stores: DataFrame, most_radius: float, most_rows
     for share in RINGS:
         rows = places_in_radius(asked, places, F.col("_full") * share, most_radius * share).where(passes("r_", ""))
         rows = rows.join(states, ["_hours", "_week"], "left").withColumn("_open", F.coalesce("_open", F.lit(False)))
-        rows = with_verdict(rows).where(~by_trust | F.col("open_now.sells_beer_now"))
-        rows = rows.withColumn("verification", verification(F.col("source_name"), F.col("matched_censo_source")))
+        sells = sells_at(F.col("place_type"), F.col("sells_takeaway_beer"), F.col("_open"), F.col("_week"))
+        rows = rows.where(~by_trust | sells).select(
+            "query_id", "id", "distance_m", "_week", "_open", "_closes", "r_open_now", "r_limit",
+            verification(F.col("source_name"), F.col("matched_censo_source")).alias("verification"),
+        )
         found = materialise(top_k(rows, ["query_id"], order, most_rows, "_place", "id").where(F.col("_place") <= F.col("r_limit")), "ring")
         if share == RINGS[-1]:
             answers.append(found)
@@ -280,7 +284,9 @@ def nearby(requests: DataFrame, stores: DataFrame, most_radius: float, most_rows
     for answer in answers[1:]:
         whole = whole.unionByName(answer)
     ranked = Window.partitionBy("query_id").orderBy(*_trust_order(F.col("distance_m"), F.col("id")))
-    return whole.withColumn("trust_rank", F.row_number().over(ranked)).drop("_full", "_place", "c_lat", "c_lng", *[f"r_{c}" for c in REQUEST])
+    whole = whole.withColumn("trust_rank", F.row_number().over(ranked)).drop("_place", "r_open_now", "r_limit")
+    # The rest of a place and the wording of the verdict are for the answers only.
+    return with_verdict(whole.join(places, "id"))
 
 
 def nearest_open(queries: DataFrame, stores: DataFrame, radius: Column, limit: int) -> DataFrame:
