@@ -58,12 +58,14 @@ def robots_sections(lines: DataFrame) -> DataFrame:
 
     A group is one robots file.
     """
-    text = F.trim(F.regexp_replace("line", "#.*$", ""))
-    agent = F.lower(F.trim(F.regexp_extract(text, r"(?i)^user-agent:\s*(.+)$", 1)))
+    # A line is a field and a value around its first colon; the rest from a hash sign on is a comment.
+    halves = F.split(F.substring_index("line", "#", 1), ":", 2)
+    field, value = F.lower(F.trim(halves[0])), F.coalesce(F.trim(F.get(halves, F.lit(1))), F.lit(""))
+    agent = F.when(field == "user-agent", F.lower(value))
     above = Window.partitionBy("origin").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return (
         lines.withColumn("_agent", F.nullif(agent, F.lit("")))
-        .withColumn("disallow", F.trim(F.regexp_extract(text, r"(?i)^disallow:\s*(.*)$", 1)))
+        .withColumn("disallow", F.when(field == "disallow", value).otherwise(""))
         .withColumn("agent", F.last("_agent", ignorenulls=True).over(above))
         .where("_agent is null and disallow <> ''")
         .select("origin", "line_no", "agent", "disallow")
