@@ -48,19 +48,26 @@ def within_distance(
     """Pairs no farther apart than `radius` metres, with `distance_m`.
 
     `places` has lat, lng; `centres` has c_lat, c_lng and is the side copied to neighbouring
-    cells. `on` adds equality keys. Cells or keys that hold many rows are cut into slices.
+    cells. `on` adds equality keys. Cells or keys that hold many rows are left to the planner. Half of what
+    shares a cell lies outside the circle's box, which is told by two comparisons before any distance is computed.
     """
     keys = [*KEYS, *(on or [])]
+    # No degree of latitude is shorter than 110,574 m, none of longitude than 111,319 m times the cosine of the latitude.
+    high = radius * F.lit(1.000001) / F.lit(110574.0)
+    pole = F.least(F.abs("c_lat") + high, F.lit(89.99999999))
+    wide = radius * F.lit(1.000001) / (F.lit(111319.0) * F.cos(F.radians(pole)))
+    boxed = centres.select("*", high.alias("_high"), wide.alias("_wide"))
+    in_box = (F.abs(F.col("lat") - F.col("c_lat")) <= F.col("_high")) & (F.abs(F.col("lng") - F.col("c_lng")) <= F.col("_wide"))
     pairs = keyed_join(
         with_cell(places, cell_m),
-        with_reach(centres, cell_m, radius, "c_lat", "c_lng"),
+        with_reach(boxed, cell_m, radius, "c_lat", "c_lng"),
         keys,
-        condition,
+        in_box if condition is None else in_box & condition,
     )
     away = distance_m(F.col("c_lat"), F.col("c_lng"), F.col("lat"), F.col("lng"))
     return (
         pairs.select("*", away.alias("distance_m"))
-        .where(F.col("distance_m") <= F.col("_reach")).drop("_reach", *KEYS)
+        .where(F.col("distance_m") <= F.col("_reach")).drop("_reach", "_high", "_wide", *KEYS)
     )
 
 

@@ -254,12 +254,14 @@ def nearby(requests: DataFrame, stores: DataFrame, most_radius: float, most_rows
         *[F.coalesce(said(c, kind), F.lit(v).cast(kind)).alias(f"r_{c}") for c, (kind, v) in REQUEST.items()],
     )
     asked = materialise(asked, "requests")
-    # Written, so that the choice of a schedule is made once a place and not once a pair.
+    # Written, so that the choice of a schedule is made once a place and not once a pair. A set number of parts, evenly filled:
+    # the pairs are made where the places are read if the requests are few, so their parts are what runs side by side.
+    parts = int(stores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = materialise(with_hours(served(stores).select(
         "id", "lat", "lng", "name", "place_type", "sells_onsite_beer", "sells_takeaway_beer", "is_chain", "confidence_level",
         "opening_hours_osm", "opening_hours_web", "source_name", "matched_censo_source", "matched_censo_local_id",
         "address", "district", "neighbourhood",
-    )).drop("opening_hours_osm", "opening_hours_web"), "open-places")
+    )).drop("opening_hours_osm", "opening_hours_web").repartition(parts, "id"), "open-places")
     states = states_at(compiled_schedules(places, "_hours"), asked)
     (tier, metres), by_trust = _trust_order(), F.col("r_open_now")
     order = [F.when(by_trust, tier).otherwise(0), F.when(by_trust, metres).otherwise(0), F.col("distance_m"), F.col("id")]
