@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import base64
 import gc
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -219,8 +218,14 @@ class Transducer:
         else:
             shared = 0
             if left[0][0]:
-                while shared < len(done) and all(len(a) > shared and a[shared] == done[shared] for a, _ in left):
-                    shared += 1
+                shared = len(done)
+                for added, _ in left:
+                    upto = min(shared, len(added))
+                    shared = 0
+                    while shared < upto and added[shared] == done[shared]:
+                        shared += 1
+                    if not shared:
+                        break
             left.append((done, 0))
             if shared:
                 out = done[:shared]
@@ -289,19 +294,36 @@ class Encoder:
         self.transducer = Transducer(self.ranks)
         self.findall = regex.compile(pattern).findall
         self.late = late_characters(pattern) if late is None else late
-        points = np.array(sorted(self.late), np.int64)
-        runs = np.split(points, np.flatnonzero(np.diff(points) > 1) + 1) if self.late else []
-        ranges = "".join(f"{chr(run[0])}-{chr(run[-1])}" for run in runs)
-        self.has_late = re.compile(f"[{ranges}]").search if runs else None
+        self.is_late = np.zeros(0x110000, bool)
+        self.is_late[list(self.late)] = True
+        self.first_late = min(self.late, default=0x110000)
         self.decoder = Decoder(self.ranks.bytes_of)
-        self.forget()
+        self.known, self.store = Numbering(), Store(np.int32)
+        #: How often each remembered piece was met since pieces were last forgotten.
+        self.met = np.zeros(0, np.int64)
 
     def forget(self) -> None:
-        self.known, self.store = Numbering(), Store(np.int32)
+        """Forgets the pieces met once since the last time, and as many more as leave half the limit at most."""
+        least = 2
+        while np.count_nonzero(self.met >= least) > PIECES // 2:
+            least *= 2
+        keep, names = np.flatnonzero(self.met >= least), list(self.known)
+        known, store = Numbering(), Store(np.int32)
+        for number in keep.tolist():
+            known[names[number]] = len(known)
+        store.append(self.store.rows(keep), self.store.counts[keep])
+        self.known, self.store, self.met = known, store, np.zeros(len(keep), np.int64)
+
+    def has_late(self, text: str) -> bool:
+        """A character of the text is one that the library takes for another class."""
+        if text.isascii():
+            return False
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return bool(points.max() >= self.first_late) and bool(self.is_late[points].any())
 
     def cut(self, text: str) -> list[str]:
         """The pieces of a text; tokens never cross them."""
-        if text.isascii() or self.has_late is None or not self.has_late(text):
+        if not self.has_late(text):
             return self.findall(text)
         out, at = [], 0
         for piece in self.findall(text.translate(self.late)):
@@ -327,6 +349,9 @@ class Encoder:
         counts = np.array([len(r) for r in rows], np.int64)
         self.store.append(np.fromiter(chain.from_iterable(rows), np.int64, int(counts.sum())), counts)
         which = np.concatenate(numbers)
+        met = np.bincount(which, minlength=len(self.known))
+        met[:len(self.met)] += self.met
+        self.met = met
         upto = np.concatenate([[0], np.cumsum(self.store.counts[which])])
         ends = np.cumsum(np.array(lengths, np.int64))
         return self.store.rows(which), upto[ends] - upto[ends - np.array(lengths, np.int64)]
