@@ -39,7 +39,7 @@ from barrio.llm.common import Numbering, Store, blocks, texts
 
 #: Bytes of text that are encoded together; distinct pieces, states and token pairs that a worker remembers.
 BLOCK_BYTES = 6 << 20
-PIECES, STATES, PAIRS = 250_000, 400_000, 1_000_000
+PIECES, STATES, PAIRS = 200_000, 250_000, 400_000
 
 
 def merge(ranks: dict[bytes, int], piece: bytes) -> tuple[list[int], int]:
