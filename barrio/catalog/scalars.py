@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barrio.catalog.registry import Data, part, query
-from barrio.functions import classify, fields, geo, text
+from barrio.functions import classify, fields, geo, links, text
 from barrio.operators import hours, serve, traffic
 
 # DuckDB counterparts of the name forms.
@@ -299,6 +299,47 @@ def _(d: Data):
     )
 
 
+# Odd links built from an id, and what must come of each: link, canonical form, path.
+ODD_LINKS = [
+    ("HTTPS://Foo{}.ES:443/a/../b", "https://foo{}.es/b", "/b"),
+    ("http://x{}.es:8080\\c\\.", "http://x{}.es:8080/c/", "/c/"),
+    ("https://u{}.es/ú{{x}}|y?q=ñ", "https://u{}.es/%C3%BA%7Bx%7D|y?q=%C3%B1", "/%C3%BA%7Bx%7D|y"),
+    ("bare{}.es#", "https://bare{}.es/#", "/"),
+    ("http://up{}.es/%2e%2E/./z/..", "http://up{}.es/", "/"),
+    ("https://wide{}.es:99999/", None, None),
+    ("https://bad|{}.es/", None, None),
+]
+
+
+def _pieces(template: str) -> list[str]:
+    return template.replace("{{", "{").replace("}}", "}").split("{}")
+
+
+def _sql_odd(which: int) -> str:
+    arms = []
+    for i, row in enumerate(ODD_LINKS):
+        if row[which] is not None:
+            text = " || page_id || ".join(f"'{p}'" for p in _pieces(row[which]))
+            arms.append(f"when page_id % {len(ODD_LINKS)} = {i} then {text}")
+    return "case " + " ".join(arms) + " end"
+
+
+@query(
+    "n14_canonical_links",
+    f"select page_id as id, {_sql_odd(1)} as website, {_sql_odd(2)} as path, "
+    "regexp_extract(website, '^[a-z]+://([^/:]+)', 1) as host from @pages where website is not null "
+    "union all select page_id, null, null, null from @pages where " + _sql_odd(1) + " is null",
+)
+def _(d: Data):
+    made = [
+        F.concat(*[x for p in _pieces(row[0]) for x in (F.lit(p), F.col("page_id").cast("string"))][:-1]) for row in ODD_LINKS
+    ]
+    raw = F.get(F.array(*made), (F.col("page_id") % len(ODD_LINKS)).cast("int"))
+    website = fields.website_url(raw, F.lit(None).cast("string"))
+    rows = d.pages.select(F.col("page_id").alias("id"), website.alias("website"))
+    return rows.select("id", "website", links.url_path(F.col("website")).alias("path"), links.url_host(F.col("website")).alias("host"))
+
+
 _MADRID_PARTS = {
     "class": "case when c_custkey%3=0 then '' else 'CALLE' end",
     "road": "concat('DE ', c_mktsegment)",
@@ -423,7 +464,7 @@ def _(d: Data):
     f"select page_id as id, {sql_host('url')} as host from @pages union all select id + 10000000, {sql_host('website')} from (@fx_store_sites)",
 )
 def _(d: Data):
-    host = lambda c: fields.url_host(F.col(c)).alias("host")
+    host = lambda c: links.url_host(F.col(c)).alias("host")
     return d.pages.select(F.col("page_id").alias("id"), host("url")).union(
         d.fx_store_sites.select(F.col("id") + 10000000, host("website"))
     )

@@ -73,6 +73,48 @@ def _(d: Data):
     return traffic.locate_visitors(d.fx_access_log.select(ip.alias("ip")), d.fx_ip_ranges)
 
 
+# Networks within networks, and the forms in which an event's address is written: S is a supplier, E the event.
+_NETWORKS = (
+    "select '2001:db8:' || {hex} || '::/48' as network, 40e0 as lat, -3e0 as lng, 'wide ' || s_suppkey as city from {t} "
+    "union all select '2001:DB8:' || {hex} || ':1:0::/64', 41e0, 2e0, 'narrow ' || s_suppkey from {t} where s_suppkey % 2 = 1 "
+    "union all select '2001:db8:' || {hex} || ':2::/64', 50e0, 2e0, 'abroad ' || s_suppkey from {t} "
+    "union all select '10.' || s_suppkey % 200 || '.0.0/16', 37e0, -6e0, 'four ' || s_suppkey % 200 from {t} where s_suppkey < 200"
+)
+_CITY = (
+    "case when e.form in (2, 3) then 'four ' || s when form = 4 then null when form = 0 and s % 2 = 1 then 'narrow ' || s "
+    "when form = 5 then null else 'wide ' || s end"
+)
+
+
+@query(
+    "j10_ip_prefix",
+    "select ip, city, case when city is null then null when form in (2, 3) then 37e0 when city like 'narrow%' then 41e0 else 40e0 end as lat, "
+    "case when city is null then 'none' else 'ip' end as source from (select *, " + _CITY + " as city from ("
+    "select *, event_id % 6 as form, case event_id % 6 "
+    "when 0 then '2001:db8:' || h || ':1::' || (event_id % 9999) when 1 then '2001:0DB8:' || h || ':0003:0:0:0:' || (event_id % 9999) "
+    "when 2 then '10.' || s || '.' || (event_id % 250) || '.7' when 3 then '::ffff:10.' || s || '.7.' || (event_id % 250) "
+    "when 4 then '2001:db8:' || h || ':2:' || (event_id % 9999) || '::1' else '2001:db8:' || h || '::' || (event_id % 9999) || '::1' end as ip "
+    "from (select *, lower(to_hex(s)) as h from (select event_id, user_id % (select least(count(*), 200) from @supplier) as s from @events))) e) group by all",
+)
+def _(d: Data):
+    few = d.supplier.agg(F.least(F.count(F.lit(1)), F.lit(200)).alias("n")).scalar()
+    networks = d.supplier.sparkSession.sql(
+        _NETWORKS.format(hex="lower(hex(s_suppkey))", t="{t}"), t=d.supplier
+    ).withColumns({"city_es": F.lit(None).cast("string"), "city_en": F.col("city")})
+    s, e, form = (F.col("user_id") % few).alias("s"), F.col("event_id"), F.col("event_id") % 6
+    h, tail = F.lower(F.hex("s")), (e % 9999).cast("string")
+    written = (
+        F.when(form == 0, F.concat(F.lit("2001:db8:"), h, F.lit(":1::"), tail))
+        .when(form == 1, F.concat(F.lit("2001:0DB8:"), h, F.lit(":0003:0:0:0:"), tail))
+        .when(form == 2, F.concat(F.lit("10."), F.col("s"), F.lit("."), e % 250, F.lit(".7")))
+        .when(form == 3, F.concat(F.lit("::ffff:10."), F.col("s"), F.lit(".7."), e % 250))
+        .when(form == 4, F.concat(F.lit("2001:db8:"), h, F.lit(":2:"), tail, F.lit("::1")))
+        .otherwise(F.concat(F.lit("2001:db8:"), h, F.lit("::"), tail, F.lit("::1")))
+    )
+    visits = d.events.select("event_id", s).select(written.alias("ip"))
+    return traffic.locate_by_prefix(visits, networks).select("ip", "city", "lat", "source")
+
+
 part(
     "robots_rules",
     "select origin, line_no, agent, dis as disallow from (select *, last_value(a ignore nulls) over (partition by origin order by line_no rows between unbounded preceding and current row) as agent from ("
@@ -100,7 +142,7 @@ def _(d: Data):
 
 part(
     "url_groups",
-    "select website, host, ids, case when n > 3 then 'brand' when host is null or host in (" + sql_list(crawl.SKIPPED_HOSTS) + ") then 'host' else 'queued' end as status from ("
+    "select website, host, ids, n, case when n > 3 then 'brand' when host is null or host in (" + sql_list(crawl.SKIPPED_HOSTS) + ") then 'host' else 'queued' end as status from ("
     f"select website, {sql_host('website')} as host, count(*) as n, string_agg(cast(id as varchar), ',' order by id) as ids from (@fx_store_sites) where not has_osm_hours and not checked_recently group by website)",
 )
 
@@ -118,8 +160,8 @@ def _sites(d: Data):
 NOW = "2026-06-03 10:00:00"
 
 
-@query("g8_crawl_queue", "select website, host, case when status = 'queued' then ids end as ids, status from (@url_groups)")
+@query("g8_crawl_queue", "select website, host, case when status = 'queued' then ids end as ids, n, status from (@url_groups)")
 def _(d: Data):
     groups = crawl.url_groups(crawl.due_for_crawl(_sites(d), F.lit(NOW).cast("timestamp_ntz")))
-    ids = F.when(F.col("status") == "queued", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
-    return groups.select("website", "host", ids.alias("ids"), "status")
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return groups.select("website", "host", ids.alias("ids"), "n", "status")

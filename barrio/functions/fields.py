@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from barrio.functions import links
 from barrio.functions.text import blank_to_null, js_trim
 
 
@@ -18,39 +19,14 @@ def osm_address(street: Column, number: Column) -> Column:
 
 
 def website_url(website: Column, contact: Column) -> Column:
-    """Absolute http(s) link of a business, null for anything that is not one.
-
-    The host is lower-cased and a bare host gets a trailing slash.
-    """
+    """Canonical http(s) link of a business, null for anything that is not one; a bare host counts as https."""
     raw = js_trim(F.coalesce(website, contact, F.lit("")))
     full = F.when(raw.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    shape = r"(?i)^(https?)://([^/?#\s]+)(.*)$"
-    part = lambda i: F.regexp_extract(full, shape, i)
-    host, rest = F.lower(part(2)), part(3)
     fine = (
-        (raw != "") & (F.length(raw) <= 500) & ~raw.rlike(r"(?U)\s") & full.rlike(shape) & host.contains(".")
-    )
-    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    return F.when(fine, F.concat(F.lower(part(1)), F.lit("://"), host, path))
-
-
-def url_host(url: Column) -> Column:
-    """Host without a leading www., null for a malformed link."""
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    return F.regexp_replace(host, r"^www\.", "")
-
-
-def url_origin(url: Column) -> Column:
-    """Scheme and authority of a link."""
-    return F.concat(
-        F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), F.lit("://"),
-        F.lower(F.try_parse_url(url, F.lit("AUTHORITY"))),
+        (raw != "") & (F.length(raw) <= 500) & ~raw.rlike(r"(?U)\s") & full.rlike(r"(?i)^https?://")
+        & links.link_parts(full)["host"].contains(".")
     )
-
-
-def url_path(url: Column) -> Column:
-    """Path of a link, / if empty."""
-    return F.coalesce(_filled(F.try_parse_url(url, F.lit("PATH"))), F.lit("/"))
+    return F.when(fine, links.canonical(full))
 
 
 def madrid_address(road_class: Column, road: Column, number: Column, qualifier: Column) -> Column:

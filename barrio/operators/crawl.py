@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barrio.functions.fields import url_host, url_origin, url_path
-from barrio.operators.serve import served, top_k
+from barrio.functions.links import url_host, url_origin, url_path
+from barrio.operators.serve import served
 from barrio.operators.keyed import keyed_join
 
 MAX_STORES_PER_URL = 3
@@ -31,20 +31,24 @@ def due_for_crawl(stores: DataFrame, now, max_age_days: int = MAX_AGE_DAYS) -> D
 
 
 def url_groups(due: DataFrame) -> DataFrame:
-    """One row per website with its status: queued, brand (shared by many) or host (skipped).
+    """One row per website: number of rows, host, status and, for queued ones, the ids.
 
-    Only the first MAX_STORES_PER_URL + 1 ids of a website are ever gathered, which is enough to
-    tell a brand page, so a page shared by millions of rows costs no more than any other.
+    Status: queued, brand (shared by more than MAX_STORES_PER_URL rows) or host (skipped). Websites are counted with
+    partial sums; only the few ids of queued ones are ever gathered.
     """
-    few = top_k(due.select("website", "id"), ["website"], [F.col("id")], MAX_STORES_PER_URL + 1, "_r", "id")
-    grouped = few.groupBy("website").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     host = url_host(F.col("website"))
     status = (
-        F.when(F.size("ids") > MAX_STORES_PER_URL, "brand")
+        F.when(F.col("n") > MAX_STORES_PER_URL, "brand")
         .when(F.col("host").isNull() | F.col("host").isin("", *SKIPPED_HOSTS), "host")
         .otherwise("queued")
     )
-    return grouped.withColumn("host", host).withColumn("status", status)
+    counted = due.groupBy("website").agg(F.count(F.lit(1)).alias("n"))
+    groups = counted.withColumn("host", host).withColumn("status", status)
+    queued = groups.where("status = 'queued'").select("website")
+    ids = due.select("website", "id").join(queued, "website").groupBy("website").agg(
+        F.array_sort(F.collect_list("id")).alias("ids")
+    )
+    return groups.join(ids, "website", "left")
 
 
 def crawl_queue(groups: DataFrame, limit: int | None = None) -> DataFrame:
@@ -79,18 +83,23 @@ def applicable_rules(sections: DataFrame, bot: str) -> DataFrame:
 
 
 def robots_verdict(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct links with `allowed`; an origin without rules allows everything."""
+    """Distinct links with `allowed`; an origin without rules allows everything, a malformed link is never allowed.
+
+    A rule can only match a link whose path begins with it, so both sides meet by origin, length and hash of that
+    beginning: a link looks up one key for each rule length in use at its origin, and no list of all pairs of an
+    origin's links and rules is made. Needs `url`; rules: origin, disallow.
+    """
     links = urls.select("url").distinct().withColumn("origin", url_origin(F.col("url"))).withColumn(
         "path", url_path(F.col("url"))
     )
-    blocked = (
-        keyed_join(
-            links, rules, ["origin"],
-            F.col("path").startswith(F.col("disallow")),
-        )
-        .select("url").distinct().withColumn("_blocked", F.lit(True))
-    )
-    return (
-        links.join(blocked, "url", "left")
-        .select("url", "origin", "path", F.col("_blocked").isNull().alias("allowed"))
+    keyed = rules.select("origin", F.length("disallow").alias("_length"), F.xxhash64("disallow").alias("_hash"), "disallow")
+    lengths = keyed.select("origin", "_length").distinct()
+    starts = links.join(lengths, "origin").where(F.length("path") >= F.col("_length")).withColumn(
+        "_start", F.substring("path", F.lit(1), F.col("_length"))
     )
+    looked_up = starts.withColumn("_hash", F.xxhash64("_start"))
+    blocked = keyed_join(
+        looked_up, keyed, ["origin", "_length", "_hash"], F.col("_start") == F.col("disallow"),
+    ).select("url").distinct().withColumn("_blocked", F.lit(True))
+    allowed = F.col("_blocked").isNull() & F.col("origin").isNotNull()
+    return links.join(blocked, "url", "left").select("url", "origin", "path", allowed.alias("allowed"))

@@ -157,3 +157,80 @@ def locate_visitors(visits: DataFrame, ranges: DataFrame) -> DataFrame:
         numbered.select("ip").join(found, "ip", "left")
         .withColumn("source", F.coalesce("source", F.lit("none")))
     )
+
+
+# --- address to city by network prefix ------------------------------------------
+
+
+def ip_halves(ip: Column) -> Column:
+    """Both halves of an address as bigints (`hi`, `lo`), null when malformed.
+
+    IPv4 addresses stand in the 128-bit space as ::ffff:a.b.c.d, so both families are looked up alike.
+    """
+    text = F.lower(ip)
+    low_words = lambda n: F.concat_ws(":", F.hex(F.shiftright(n, 16)), F.hex(n.bitwiseAND(0xFFFF)))
+    tail = F.regexp_extract(text, r"([0-9.]+)$", 1)
+    four = ip_number(tail)
+    # The last two groups may be written as an IPv4 address; an IPv4 address alone gets the mapped prefix.
+    head = F.when(text.contains(":"), F.regexp_replace(text, r"[0-9.]+$", "")).otherwise("::ffff:")
+    whole = F.when(
+        tail.contains("."), F.when(head.endswith(":") & (text.contains(":") | (tail == text)), F.concat(head, F.lower(low_words(four))))
+    ).when(text.contains(":"), text)
+    sides = F.split(whole, "::", -1)
+    words = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
+    left, right = words(F.get(sides, F.lit(0))), F.coalesce(words(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
+    given = F.size(left) + F.size(right)
+    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), right)
+    fine = (
+        ((F.size(sides) == 1) & (given == 8)) | ((F.size(sides) == 2) & (given <= 7))
+    ) & F.forall(filled, lambda w: w.rlike("^[0-9a-f]{1,4}$"))
+    word = lambda i: F.conv(F.get(filled, F.lit(i)), 16, 10).cast("bigint")
+    half = lambda i: (
+        F.shiftleft(word(i), 48).bitwiseOR(F.shiftleft(word(i + 1), 32)).bitwiseOR(F.shiftleft(word(i + 2), 16))
+        .bitwiseOR(word(i + 3))
+    )
+    return F.when(fine, F.struct(half(0).alias("hi"), half(4).alias("lo")))
+
+
+def _network(halves: Column, bits: Column) -> Column:
+    """The first `bits` bits of an address, the rest zero."""
+    ones = F.lit(-1).cast("bigint")
+    cut = lambda kept: (
+        F.when(kept <= 0, F.lit(0).cast("bigint")).when(kept >= 64, ones).otherwise(F.call_function("shiftleft", ones, 64 - kept))
+    )
+    return F.struct(
+        halves["hi"].bitwiseAND(cut(bits)).alias("hi"), halves["lo"].bitwiseAND(cut(bits - 64)).alias("lo")
+    )
+
+
+def locate_by_prefix(visits: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """City of each distinct address by the longest network that holds it, IPv4 and IPv6 alike.
+
+    Visits: ip. Prefixes: network (address/bits), lat, lng, city_es, city_en; networks may lie inside others. An
+    address looks up its own beginning once per length in use (at most 129), so the join is by equality and a wide
+    network costs no more than a narrow one. Of a repeated network the first by city and position counts. The longest
+    network decides before the country does: outside Spain, unknown, malformed or null addresses give source 'none',
+    malformed networks are left out.
+    """
+    address, length = F.substring_index("network", "/", 1), F.substring_index("network", "/", -1)
+    given = F.when(length.rlike("^[0-9]{1,3}$"), length.cast("int"))
+    bits = F.when(address.contains(":"), F.when(given <= 128, given)).when(given <= 32, given + 96)
+    city = F.coalesce("city_es", "city_en").alias("city")
+    parsed = prefixes.select(ip_halves(address).alias("_a"), bits.alias("_bits"), "lat", "lng", city)
+    table = parsed.where("_a is not null and _bits is not null").select(
+        "_bits", _network(F.col("_a"), F.col("_bits")).alias("_n"), "lat", "lng", "city"
+    )
+    lengths = table.agg(F.collect_set("_bits").alias("all")).scalar()
+    known = visits.select("ip").distinct()
+    looked_up = known.select("ip", ip_halves(F.col("ip")).alias("_a")).where("_a is not null").select(
+        "ip", "_a", F.explode(lengths).alias("_bits")
+    ).select("ip", "_bits", _network(F.col("_a"), F.col("_bits")).alias("_n"))
+    found = keyed_join(
+        looked_up.select("ip", "_bits", "_n.hi", "_n.lo"), table.select("_bits", "_n.hi", "_n.lo", "lat", "lng", "city"),
+        ["_bits", "hi", "lo"],
+    )
+    longest = found.groupBy("ip").agg(F.min(F.struct((-F.col("_bits")).alias("_bits"), "city", "lat", "lng")).alias("_b"))
+    inside = longest.select("ip", "_b.lat", "_b.lng", "_b.city").where(in_box(F.col("lat"), F.col("lng"), BOXES["spain"]))
+    return known.join(inside.withColumn("source", F.lit("ip")), "ip", "left").withColumn(
+        "source", F.coalesce("source", F.lit("none"))
+    )

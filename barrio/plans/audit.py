@@ -55,17 +55,18 @@ def exact_duplicates(stores: DataFrame) -> DataFrame:
     return rows.join(groups, key)
 
 
-def reprocessed_runs(runs: DataFrame, blocks: int = 64) -> DataFrame:
+#: Ids in a block of a run ledger: no task orders more runs of a source than this.
+BLOCK_IDS = 65_536
+
+
+def reprocessed_runs(runs: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Runs flagged when the source's previous run had the same file hash.
 
-    A source's ledger may be long, so it is cut into blocks of the id range. Inside a block the
-    previous run is a plain lag; the first run of a block looks at the last run of the nearest
-    earlier block, found among at most `blocks` summary rows per source.
+    A source's ledger may be long, so it is cut into blocks of `block_ids` ids. Inside a block the previous run is a
+    plain lag; the first run of a block looks at the last run of the nearest earlier block, found among one summary row
+    per block. Ids may lie anywhere in the range of a long, and no bounds are read beforehand.
     """
-    bounds = runs.agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    block = F.floor((F.col("id") - lo) * blocks / (hi - lo + 1)).cast("int")
-    cut = runs.withColumn("_block", block)
+    cut = runs.withColumn("_block", F.floor(F.col("id") / F.lit(block_ids).cast("decimal(20,0)")).cast("bigint"))
     last = cut.groupBy("source_name", "_block").agg(F.max_by("file_hash", "id").alias("_last"))
     earlier = last.select(
         "source_name", "_block",

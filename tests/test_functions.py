@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from barrio.functions import classify, fields, geo, text
+from barrio.functions import classify, fields, geo, links, text
 from barrio.operators import serve, traffic
 
 
@@ -72,6 +72,21 @@ def test_websites(spark):
     assert out == [r[2] for r in rows]
 
 
+def test_links(spark):
+    rows = [
+        ("https://Foo.es:443/a/../b", "https://foo.es/b"), ("http://foo.es:443", "http://foo.es:443/"), ("https://foo.es/ú", "https://foo.es/%C3%BA"),
+        ("https://foo.es/{x}/a|b", "https://foo.es/%7Bx%7D/a|b"), ("https://foo.es/[a]", "https://foo.es/[a]"), ("https:\\\\foo.es\\a", "https://foo.es/a"),
+        ("https://u:p@foo.es?a b='c'#d e", "https://u:p@foo.es/?a%20b=%27c%27#d%20e"), ("http://foo.es:0080/.", "http://foo.es/"),
+        ("https://foo.es/a/b/..", "https://foo.es/a/"), ("https://foo.es/../../x/%2E./y/", "https://foo.es/y/"), ("https://foo.es/a//b", "https://foo.es/a//b"),
+        ("https://foo.es/𝄞", "https://foo.es/%F0%9D%84%9E"), (" https://foo.es/a\nb ", "https://foo.es/ab"), ("https://foo.es/%", "https://foo.es/%"),
+        ("https://foo.es:70000/", None), ("https://foo.es:x/", None), ("https://a|b.es/", None), ("https://", None), ("mailto:a@b.es", None), ("", None), (None, None),
+    ]
+    out = values(spark, "s string, w string", rows, c=links.canonical(F.col("s")), o=links.url_origin(F.col("s")), p=links.url_path(F.col("s")))
+    assert [r[0] for r in out] == [r[1] for r in rows]
+    assert all((r[0] is None) == (r[1] is None) == (r[2] is None) for r in out)
+    assert out[1][1:] == ("http://foo.es:443", "/") and out[6][1:] == ("https://foo.es", "/")
+
+
 def test_addresses_and_names(spark):
     rows = [("GAIARRE", "84", "", "88", "", "GAIARRE 84-88"), ("GAIARRE", "84", "B", "84", "B", "GAIARRE 84B"),
             (" ", "1", "", "", "", None), ("X", "", "", "5", "", "X")]
