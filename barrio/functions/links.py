@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from barrio.functions.text import once
+
 # Ports that a scheme leaves out, and the characters that each part of a link must encode.
 PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
 IN_PATH = r"[^\x21\x24-\x3b\x3d\x40-\x5f\x61-\x7a\x7c\x7e]"
@@ -47,6 +49,10 @@ def _resolved(path: Column) -> Column:
 def link_parts(url: Column) -> Column:
     """Struct of scheme, user, host, port (null if the scheme's own), path, query and fragment; null if malformed."""
     clean = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    return once(clean, _split)
+
+
+def _split(clean: Column) -> Column:
     part = lambda i: F.regexp_extract(clean, _WHOLE, i)
     scheme, place = F.lower(part(1)), part(2)
     inside = lambda i: F.regexp_extract(place, _PLACE, i)
@@ -58,7 +64,8 @@ def link_parts(url: Column) -> Column:
         fine,
         F.struct(
             scheme.alias("scheme"), inside(1).alias("user"), F.lower(inside(2)).alias("host"),
-            F.when(number != own, number).alias("port"), _encoded(_resolved(part(3)), IN_PATH).alias("path"),
+            F.when(number != own, number).alias("port"),
+            once(_resolved(part(3)), lambda p: _encoded(p, IN_PATH)).alias("path"),
             _encoded(part(4), IN_QUERY).alias("query"), _encoded(part(5), IN_FRAGMENT).alias("fragment"),
         ),
     )
@@ -70,11 +77,14 @@ def _authority(link: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """The link in its one form."""
-    link = link_parts(url)
-    user = F.when(link["user"] != "", F.concat(link["user"], F.lit("@"))).otherwise("")
-    return F.concat(
-        link["scheme"], F.lit("://"), user, _authority(link), link["path"], link["query"], link["fragment"]
-    )
+
+    def joined(link: Column) -> Column:
+        user = F.when(link["user"] != "", F.concat(link["user"], F.lit("@"))).otherwise("")
+        return F.concat(
+            link["scheme"], F.lit("://"), user, _authority(link), link["path"], link["query"], link["fragment"]
+        )
+
+    return once(link_parts(url), joined)
 
 
 def url_host(url: Column) -> Column:
@@ -84,8 +94,7 @@ def url_host(url: Column) -> Column:
 
 def url_origin(url: Column) -> Column:
     """Scheme, host and port of a link."""
-    link = link_parts(url)
-    return F.concat(link["scheme"], F.lit("://"), _authority(link))
+    return once(link_parts(url), lambda link: F.concat(link["scheme"], F.lit("://"), _authority(link)))
 
 
 def url_path(url: Column) -> Column:

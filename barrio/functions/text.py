@@ -36,6 +36,11 @@ _WORD = "A-Za-z0-9_"
 MAX_INLINE_PATTERNS = 500
 
 
+def once(value: Column, use) -> Column:
+    """`use` of a value that it refers to several times: the value is worked out once and not written out each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
     """(from, to) for `translate`: accented letter to base letter, then the marks to drop.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barrio.functions.geo import BOXES, haversine_km, in_box
+from barrio.functions.text import once
 from barrio.operators.keyed import keyed_join
 
 # Metropolitan areas (name, lat, lng) and catchment.
@@ -167,28 +168,43 @@ def ip_halves(ip: Column) -> Column:
 
     IPv4 addresses stand in the 128-bit space as ::ffff:a.b.c.d, so both families are looked up alike.
     """
-    text = F.lower(ip)
-    low_words = lambda n: F.concat_ws(":", F.hex(F.shiftright(n, 16)), F.hex(n.bitwiseAND(0xFFFF)))
-    tail = F.regexp_extract(text, r"([0-9.]+)$", 1)
-    four = ip_number(tail)
-    # The last two groups may be written as an IPv4 address; an IPv4 address alone gets the mapped prefix.
-    head = F.when(text.contains(":"), F.regexp_replace(text, r"[0-9.]+$", "")).otherwise("::ffff:")
-    whole = F.when(
-        tail.contains("."), F.when(head.endswith(":") & (text.contains(":") | (tail == text)), F.concat(head, F.lower(low_words(four))))
-    ).when(text.contains(":"), text)
-    sides = F.split(whole, "::", -1)
+    return once(once(once(F.lower(ip), _in_groups), _filled_groups), _halves)
+
+
+def _in_groups(text: Column) -> Column:
+    """The address in groups of hexadecimal digits alone; its last two may be given as an IPv4 address."""
+    four = once(
+        ip_number(F.regexp_extract(text, r"([0-9.]+)$", 1)),
+        lambda n: F.concat_ws(":", F.lower(F.hex(F.shiftright(n, 16))), F.lower(F.hex(n.bitwiseAND(0xFFFF)))),
+    )
+    head = F.regexp_extract(text, r"^(|.*:)[0-9.]+$", 1)
+    return F.when(~text.contains("."), text).when(
+        text.rlike(r"^(|.*:)[0-9.]+$"),
+        F.when(ip_number(F.regexp_extract(text, r"([0-9.]+)$", 1)).isNotNull(), F.concat(F.when(head == "", "::ffff:").otherwise(head), four)),
+    )
+
+
+def _filled_groups(text: Column) -> Column:
+    """All eight groups, those that a double colon stands for as zeros; null for any other number of groups."""
     words = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
-    left, right = words(F.get(sides, F.lit(0))), F.coalesce(words(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
-    given = F.size(left) + F.size(right)
-    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), right)
-    fine = (
-        ((F.size(sides) == 1) & (given == 8)) | ((F.size(sides) == 2) & (given <= 7))
-    ) & F.forall(filled, lambda w: w.rlike("^[0-9a-f]{1,4}$"))
-    word = lambda i: F.conv(F.get(filled, F.lit(i)), 16, 10).cast("bigint")
+
+    def joined(sides: Column) -> Column:
+        left, right = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+        missing = 8 - F.size(left) - F.size(right)
+        return F.when(
+            (F.size(sides) == 2) & (missing > 0), F.concat(left, F.array_repeat(F.lit("0"), missing), right)
+        ).when((F.size(sides) == 1) & (F.size(left) == 8), left)
+
+    return once(F.transform(F.split(text, "::", -1), words), joined)
+
+
+def _halves(groups: Column) -> Column:
+    word = lambda i: F.conv(F.get(groups, F.lit(i)), 16, 10).cast("bigint")
     half = lambda i: (
         F.shiftleft(word(i), 48).bitwiseOR(F.shiftleft(word(i + 1), 32)).bitwiseOR(F.shiftleft(word(i + 2), 16))
         .bitwiseOR(word(i + 3))
     )
+    fine = F.forall(groups, lambda w: w.rlike("^[0-9a-f]{1,4}$"))
     return F.when(fine, F.struct(half(0).alias("hi"), half(4).alias("lo")))
 
 
