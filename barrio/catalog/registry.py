@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barrio.fixtures import ORACLE_PARTS, oracle_text, projection, table
 from barrio.plans.snapshot import STORE_COLUMNS, as_stores
-from barrio.session import exists, new_path
+from barrio.session import exists, new_path, settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -54,7 +54,9 @@ def stored_places(spark: SparkSession, folder: str) -> DataFrame:
         rows = stores_table(projection(spark, folder, "fx_places")).select(*columns)
         # A set number of parts: the adaptive planner would merge them into few large files.
         parts = spark.sparkContext.defaultParallelism
-        rows.repartition(parts, F.col("id")).write.partitionBy("source_name").parquet(path)
+        # Its two tables both grow, so none is sent around, however small its file looks.
+        with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+            rows.repartition(parts, F.col("id")).write.partitionBy("source_name").parquet(path)
         _STORED[key] = path
     schema = ", ".join(f"{c} {STORE_COLUMNS[c]}" for c in columns)
     return spark.read.schema(schema).parquet(_STORED[key])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barrio.functions.geo import distance_m, lat_step, lng_step
-from barrio.operators.keyed import keyed_join
+from barrio.operators.keyed import keyed_join, large_join
 
 KEYS = ["_gy", "_gx"]
 
@@ -58,12 +58,9 @@ def within_distance(
     wide = radius * F.lit(1.000001) / (F.lit(111319.0) * F.cos(F.radians(pole)))
     boxed = centres.select("*", high.alias("_high"), wide.alias("_wide"))
     in_box = (F.abs(F.col("lat") - F.col("c_lat")) <= F.col("_high")) & (F.abs(F.col("lng") - F.col("c_lng")) <= F.col("_wide"))
-    pairs = keyed_join(
-        with_cell(places, cell_m),
-        with_reach(boxed, cell_m, radius, "c_lat", "c_lng"),
-        keys,
-        in_box if condition is None else in_box & condition,
-    )
+    pairs = large_join(
+        with_cell(places, cell_m), with_reach(boxed, cell_m, radius, "c_lat", "c_lng"), keys
+    ).where(in_box if condition is None else in_box & condition)
     away = distance_m(F.col("c_lat"), F.col("c_lng"), F.col("lat"), F.col("lng"))
     return (
         pairs.select("*", away.alias("distance_m"))

@@ -14,3 +14,12 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], condition: Co
     """
     out = left.join(right, keys)
     return out if condition is None else out.where(condition)
+
+
+def large_join(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """Join of two sides that both grow with the input: sorted and merged, never sent around.
+
+    Before a shuffle the planner knows a side by the size of its files only. Tables of counts and repeated words take
+    some hundred times their files' size in memory, so a side that looks small would fill the driver as a broadcast.
+    """
+    return left.join(right.hint("merge"), on, how)

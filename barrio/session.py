@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -28,6 +29,19 @@ def build_session(app: str = "barrio", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Run the body under other session settings and put the former ones back."""
+    former = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in former.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 _OWN_FOLDERS: dict[str, str] = {}
 
 
