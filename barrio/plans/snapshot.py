@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barrio.functions.classify import SCORING_OSM
+from barrio.operators.keyed import large_join
 from barrio.operators.match import CLOSED_STATUS
 
 MAX_PRUNE_FRACTION = 0.15
@@ -125,16 +126,15 @@ def activity_rows(stores: DataFrame, batch: DataFrame, source: str, old: DataFra
     """Activities after a batch: those of its stores are replaced, the others kept."""
     ids = stores.where(F.col("source_name") == source).select(F.col("id").alias("store_id"), "source_local_id")
     fresh = (
-        batch.select("source_local_id", F.explode("activities").alias("a"))
-        .join(ids, "source_local_id")
+        large_join(batch.select("source_local_id", F.explode("activities").alias("a")), ids, "source_local_id")
         .select(
             "store_id", F.col("a.code").alias("epigraph_code"),
             F.col("a.description").alias("epigraph_description"),
         )
         .withColumn("is_target_epigraph", target)
     )
-    touched = batch.select("source_local_id").join(ids, "source_local_id").select("store_id")
-    return old.join(touched, "store_id", "left_anti").unionByName(fresh)
+    touched = large_join(batch.select("source_local_id"), ids, "source_local_id").select("store_id")
+    return large_join(old, touched, "store_id", "left_anti").unionByName(fresh)
 
 
 def deactivate_missing(stores: DataFrame, source: str, run_id: Column, now: Column | None = None) -> DataFrame:
@@ -215,7 +215,7 @@ def apply_matches(stores: DataFrame, matches: DataFrame) -> DataFrame:
     marks = matches.select(
         F.col("censo_id").alias("id"), F.struct(*[v.alias(c) for c, v in empty.items()]).alias("_e")
     )
-    joined = stores.join(evidence.unionByName(marks), "id", "left")
+    joined = large_join(stores, evidence.unionByName(marks), "id", "left")
     matched = F.col("_e").isNotNull()
     canonical = matched & (F.col("source_name") == "osm")
     out = {c: F.when(canonical, F.col(f"_e.{c}")).otherwise(F.col(c)) for c in EVIDENCE}
