@@ -8,6 +8,7 @@ from barrio.catalog.classes import patterns, tag_map, SQL_OSM_KEEP, SQL_OSM_TYPE
 from barrio.catalog.registry import Data, part, query
 from barrio.catalog.scalars import sql_in_box, sql_name
 from barrio.operators import match
+from barrio.operators.keyed import large_join
 from barrio.plans import ingest, snapshot
 from barrio.session import new_path
 from barrio.sources import sinks
@@ -227,8 +228,10 @@ def _(d: Data):
     """A sound version, then a broken one with orphans; readers stay on the sound one."""
     root = new_path(d.spark, "snapshots")
     runs, stores = d.fx_import_runs, d.stores
-    known = runs.select(F.col("id").alias("last_import_run_id"), F.lit(True).alias("_known"))
-    sound = stores.join(known, "last_import_run_id", "left").withColumn(
+    # Each run that stores name is looked up once; a run behind a tenth of all stores is a single row of that join.
+    used = stores.select("last_import_run_id").distinct()
+    known = large_join(used, runs.select(F.col("id").alias("last_import_run_id")), "last_import_run_id")
+    sound = stores.join(known.withColumn("_known", F.lit(True)), "last_import_run_id", "left").withColumn(
         "last_import_run_id", F.when(F.col("_known"), F.col("last_import_run_id"))
     ).drop("_known")
     acts = stores.select(F.col("id").alias("store_id"), F.lit("561001").alias("epigraph_code"))

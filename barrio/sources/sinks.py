@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barrio.operators.keyed import large_join
+
 TABLES = ["import_runs", "stores", "store_activities"]
 
 
@@ -59,12 +61,12 @@ def orphan_counts(stores: DataFrame, runs: DataFrame, acts: DataFrame) -> DataFr
         stores.where("last_import_run_id is not null").groupBy("last_import_run_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    lost_stores = by_run.join(
-        runs.select(F.col("id").alias("last_import_run_id")), "last_import_run_id", "left_anti"
+    lost_stores = large_join(
+        by_run, runs.select(F.col("id").alias("last_import_run_id")), "last_import_run_id", "left_anti"
     ).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.lit("stores_without_run").alias("check"))
     by_store = acts.groupBy("store_id").agg(F.count(F.lit(1)).alias("n"))
-    lost_acts = by_store.join(
-        stores.select(F.col("id").alias("store_id")), "store_id", "left_anti"
+    lost_acts = large_join(
+        by_store, stores.select(F.col("id").alias("store_id")), "store_id", "left_anti"
     ).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.lit("activities_without_store").alias("check"))
     return lost_stores.unionByName(lost_acts).select("check", "n")
 
