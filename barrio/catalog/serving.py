@@ -9,6 +9,7 @@ from barrio.catalog.registry import Data, part, query
 from barrio.catalog.scalars import sql_distance
 from barrio.operators import crawl, serve
 from barrio.operators.census import madrid_candidates
+from barrio.operators.keyed import large_join
 
 RADIUS = 5000.0
 
@@ -60,15 +61,15 @@ def _(d: Data):
     own = matched.select("id", F.col("address").alias("_own"))
     out = serve.with_evidence(matched.withColumn("address", F.lit(None).cast("string")), d.stores)
     # The register address alone tells whether the evidence row exists.
-    out = out.select("id", F.col("address").alias("_other"), "district", "neighbourhood").join(own, "id")
+    out = large_join(out.select("id", F.col("address").alias("_other"), "district", "neighbourhood"), own, "id")
     other = d.stores.where(F.col("source_name").startswith("censo_")).select(
         F.col("source_name").alias("matched_censo_source"), F.col("source_local_id").alias("matched_censo_local_id"),
         F.lit(True).alias("found"),
     )
-    flags = matched.join(other, ["matched_censo_source", "matched_censo_local_id"], "left").select(
+    flags = large_join(matched, other, ["matched_censo_source", "matched_censo_local_id"], "left").select(
         "id", F.coalesce("found", F.lit(False)).alias("found")
     )
-    return out.join(flags, "id").select(
+    return large_join(out, flags, "id").select(
         "id", serve.fallback(F.col("_own"), F.col("_other")).alias("address"), "district", "neighbourhood", "found"
     )
 

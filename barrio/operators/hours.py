@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barrio.functions.classify import lookup
 from barrio.functions.text import js_trim
+from barrio.operators.keyed import large_join
 from barrio.session import materialise
 
 ZONE = "Europe/Madrid"
@@ -363,7 +364,7 @@ def apply_crawl(stores: DataFrame, results: DataFrame, now: Column) -> DataFrame
     `results` has one row per crawled store: id, hours (null for a failure).
     """
     found = results.select("id", F.col("hours").alias("_hours"), F.lit(True).alias("_seen"))
-    joined = stores.join(found, "id", "left")
+    joined = large_join(stores, found, "id", "left")
     return (
         joined.withColumn("opening_hours_web", F.coalesce("_hours", "opening_hours_web"))
         .withColumn("hours_web_checked_at", F.when(F.col("_seen"), now).otherwise(F.col("hours_web_checked_at")))
