@@ -31,10 +31,10 @@ def _points(d: Data):
 
 @query("j2_nearest_per_query_point", "select query_id, id, position, round(distance_m, 2) as distance_m from (@nearest) where position <= 50")
 def _(d: Data):
-    near = serve.nearest_places(
-        _points(d), serve.served(d.stores).select("id", "lat", "lng"), F.lit(RADIUS), 50, RADIUS
-    )
-    return near.select(
+    spots = serve.asked_spots(_points(d))
+    near = serve.nearest_places(spots, serve.served(d.stores).select("id", "lat", "lng"), F.lit(RADIUS), 50, RADIUS)
+    rows = near.select("query_id", "id", "position", "distance_m")
+    return serve.for_every_query(_points(d), spots, rows).select(
         "query_id", "id", F.col("position").cast("bigint").alias("position"),
         F.round("distance_m", 2).alias("distance_m"),
     )
@@ -89,12 +89,12 @@ part(
     "select query_id, id, row_number() over (partition by query_id order by case when id % 3 = 0 then 1 else 0 end, floor(distance_m + 0.5), position) as trust_rank from (@nearest) where position <= 20",
 )
 def _(d: Data):
-    near = serve.nearest_places(
-        _points(d), serve.served(d.stores).select("id", "lat", "lng"), F.lit(RADIUS), 20, RADIUS
-    )
+    spots = serve.asked_spots(_points(d))
+    near = serve.nearest_places(spots, serve.served(d.stores).select("id", "lat", "lng"), F.lit(RADIUS), 20, RADIUS)
     kind = F.when(F.col("id") % 3 == 0, "unverified").otherwise("mapped")
     ranked = serve.trust_ranking(near.withColumn("verification", kind))
-    return ranked.select("query_id", "id", F.col("trust_rank").cast("bigint").alias("trust_rank"))
+    rows = ranked.select("query_id", "id", F.col("trust_rank").cast("bigint").alias("trust_rank"))
+    return serve.for_every_query(_points(d), spots, rows)
 
 
 def _nearest_open(d: Data, radius: float):

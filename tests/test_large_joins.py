@@ -3,9 +3,13 @@
 import contextlib
 import io
 
+import compare
+import pytest
 from pyspark.sql import functions as F
 
-from barrio.operators import gridjoin, keyed, match
+import __spark_entry__ as entry_module
+from barrio import fixtures
+from barrio.operators import gridjoin, keyed, match, serve
 from barrio.plans import snapshot
 from barrio.session import settings
 
@@ -46,3 +50,35 @@ def test_settings_are_put_back(spark):
         assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
         raise KeyError
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == former
+
+
+def test_queries_of_one_position_are_asked_once(spark):
+    queries = spark.range(1000).selectExpr("id query_id", "40.4 + (id % 3) / 1e3 lat", "-3.7D lng")
+    places = spark.range(900).selectExpr("id", "40.4 + (id % 3) / 1e3 lat", "-3.7D lng")
+    spots = serve.asked_spots(queries)
+    assert sorted(r.query_id for r in spots.collect()) == [0, 1, 2]
+    assert serve.lowest_ids(places, ["lat", "lng"], 5).count() == 15
+    near = serve.nearest_places(spots, places, F.lit(50.0), 5, 50.0).select("query_id", "id", "position")
+    got = {tuple(r) for r in serve.for_every_query(queries, spots, near).collect()}
+    assert got == {(q, q % 3 + 3 * n, n + 1) for q in range(1000) for n in range(5)}
+
+
+@pytest.fixture(scope="module")
+def copied(data, tmp_path_factory):
+    """The test tables three times over, with shifts of keys that keep positions, schedules and requests alike."""
+    folder, con = str(tmp_path_factory.mktemp("copied")), compare.connection(data)
+    shifts = {"orders": {"o_orderkey": 168_000}, "customer": {"c_custkey": 33_600}, "events": {"event_id": 105_000}}
+    for name in fixtures.BASE_TABLES:
+        moved = ", ".join(f"({c} + r * {by})::{kind} as {c}" for c, by in shifts.get(name, {}).items() for kind in ["bigint"])
+        times = 3 if moved else 1
+        con.execute(
+            f"copy (select * exclude (r){f' replace ({moved})' if moved else ''} from {name}, range({times}) g(r)) to '{folder}/{name}.parquet'"
+        )
+    return folder
+
+
+@pytest.mark.parametrize("name", ["j2_nearest_per_query_point", "w4_trust_ranking", "w5_nearest_open_default", "n30_nearby_requests"])
+def test_copies_of_places_and_requests(spark, copied, name):
+    df = entry_module.queries()[name](spark, copied)
+    found = compare.differences(df, compare.connection(copied), entry_module.oracle_sql()[name])
+    assert not found, "\n".join(found)
