@@ -8,7 +8,8 @@ the last one with a uniform share.
 A model is stored as sorted arrays of 64-bit hashes: of grams with their log probability and of contexts
 with the log weight of the lower order. The language with the lowest cross-entropy per letter wins, the
 first in code-point order of equals. A text is `rejected` if its cross-entropy lies more than `DEVIATIONS` standard deviations
-above the mean of its language's own documents, measured on about `CALIBRATION` labelled ones chosen by a hash.
+above the mean of its language's own documents, measured on all that were learned from and
+are recognised.
 
 Scale. Every gram is kept. Counts, continuation counts, discounts and probabilities are group-bys and joins on language and
 gram; the driver sees none of them. The hashed tables lie in the shared folder, and each worker reads them once, so they
@@ -40,7 +41,6 @@ from barrio.llm.minhash import mixed
 from barrio.session import materialise, new_path
 
 ORDER = 4
-CALIBRATION = 2_000
 DEVIATIONS = 5.0
 UNKNOWN = "und"
 
@@ -323,18 +323,18 @@ def _scored(docs: DataFrame, models: str) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy and rejected, one row per document."""
     models = learn(docs)
-    own = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # A share of the hash range that holds about so many of them; nothing is sorted.
-    share = min(1.0, CALIBRATION / max(1, own.count()))
-    sample = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    measured = _scored(sample, models).where(F.col("lang") == F.col("predicted")).groupBy("lang").agg(
+    # Every text is scored once; the limits come from all labelled ones that were learned from.
+    labelled = docs.withColumn("lang", F.when(F.col("text").isNotNull(), F.col("lang")))
+    scored = materialise(_scored(labelled, models), "scored")
+    own = scored.where(~held_out(F.col("doc_id")) & (F.col("lang") == F.col("predicted")))
+    measured = own.groupBy("lang").agg(
         F.mean("entropy").alias("mean"), F.coalesce(F.stddev("entropy"), F.lit(0.0)).alias("deviation"),
     ).collect()
     limits = {r["lang"]: r["mean"] + DEVIATIONS * max(r["deviation"], 0.05) for r in measured}
     limit = F.lit(None).cast("double")
     if limits:
         limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("predicted")]
-    return _scored(docs, models).select(
+    return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("predicted").alias("lang_pred"), "score", "entropy",
         F.coalesce(F.col("entropy") > limit, F.lit(False)).alias("rejected"),
     )
