@@ -9,7 +9,7 @@ from barrio.catalog.classes import chain_table, tag_map
 from barrio.catalog.registry import Data, query
 from barrio.catalog.scalars import CHAINS, sql_list
 from barrio.operators import traffic
-from barrio.session import new_path
+from barrio.session import new_path, spread
 from barrio.sources import scans
 
 _MADRID = [
@@ -82,7 +82,7 @@ def _(d: Data):
         F.col("tags").alias("properties"),
     )
     text = F.concat(F.lit("\x1e"), F.to_json(feature))
-    lines = tag_map(d.fx_osm_features).select(F.explode(F.array(text, F.lit(""), F.lit("{oops"))).alias("value"))
+    lines = tag_map(spread(d.fx_osm_features)).select(F.explode(F.array(text, F.lit(""), F.lit("{oops"))).alias("value"))
     path = new_path(d.spark, "osm")
     lines.write.text(path)
     places = scans.osm_places(scans.scan_osm_features(d.spark, path))

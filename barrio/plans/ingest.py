@@ -12,6 +12,7 @@ from barrio.functions.fields import bcn_address, display_name, municipality
 from barrio.functions.geo import BOXES, in_box, utm30_to_wgs84
 from barrio.functions.text import blank_to_null, leading_number, match_name, with_chain_flag
 from barrio.operators.census import madrid_candidates
+from barrio.session import spread
 from barrio.sources.scans import OSM_KINDS, osm_places
 
 CLASS_FIELDS = [
@@ -37,7 +38,7 @@ def barcelona_batch(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """Barcelona city register rows of interest."""
     yes = lambda c: F.coalesce(F.col(c) == "Si", F.lit(False))
     rows = (
-        with_chain_flag(rows, "Nom_Local", patterns)
+        with_chain_flag(spread(rows), "Nom_Local", patterns)
         .withColumn("_c", classify_bcn(F.col("Codi_Activitat_2022"), yes("SN_Obert24h"), yes("SN_Servei_Degustacio")))
         .withColumn("lat", leading_number(F.col("Latitud"))).withColumn("lng", leading_number(F.col("Longitud")))
     )
@@ -53,7 +54,7 @@ def barcelona_batch(rows: DataFrame, patterns: DataFrame) -> DataFrame:
 def diba_batch(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """Barcelona province register rows of interest."""
     rows = (
-        with_chain_flag(rows, "nom_comercial", patterns)
+        with_chain_flag(spread(rows), "nom_comercial", patterns)
         .withColumn("_c", classify_diba(F.col("descripcio_activitat")))
         .withColumn("lat", leading_number(F.col("latitud"))).withColumn("lng", leading_number(F.col("longitud")))
     )
@@ -66,7 +67,7 @@ def diba_batch(rows: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def andalucia_batch(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """Andalucía directory rows of interest."""
-    rows = with_chain_flag(rows, "razon_social", patterns).withColumn("_c", classify_andalucia(F.col("cnae")))
+    rows = with_chain_flag(spread(rows), "razon_social", patterns).withColumn("_c", classify_andalucia(F.col("cnae")))
     return _classified(
         rows, display_name(F.col("razon_social"), F.col("actividad")), "andalucia",
         source_local_id=F.col("id"), address=blank_to_null(F.col("domicilio")),
@@ -118,6 +119,7 @@ def osm_kind(local_id: Column) -> Column:
 
 def osm_batch(features: DataFrame, filtered: bool = True) -> DataFrame:
     """Canonical rows from map features or elements (id, tags and a position)."""
+    features = spread(features)
     kept = features.where(osm_keep(F.col("tags"))) if filtered else features
     places = osm_places(kept)
     return (

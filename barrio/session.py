@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -81,6 +82,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the tasks of a shuffle.
+
+    For costly work on rows of a scan: a file of few bytes or few row groups is read by one task, however many rows it holds.
+    """
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # The columns leave through a generator, so that no later filter is worked out before the rows are dealt.
+    return dealt.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """A finished table lies at the path."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from barrio import fixtures
 from barrio.operators import gridjoin, keyed, match, serve
-from barrio.plans import snapshot
+from barrio.plans import ingest, snapshot
 from barrio.session import settings
 
 
@@ -82,3 +82,11 @@ def test_copies_of_places_and_requests(spark, copied, name):
     df = entry_module.queries()[name](spark, copied)
     found = compare.differences(df, compare.connection(copied), entry_module.oracle_sql()[name])
     assert not found, "\n".join(found)
+
+
+def test_a_small_file_is_classified_by_many_tasks(spark, data):
+    rows = fixtures.projection(spark, data, "fx_diba_rows").coalesce(1)
+    patterns = spark.createDataFrame([("LIDL",)], "pattern string")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        assert ingest.diba_batch(rows, patterns).rdd.getNumPartitions() == parts
