@@ -66,11 +66,11 @@ _QUALIFIED = "osm_id, censo_id, round(distance_m, 2) as distance_m, method, roun
 
 @query("w1_evaluate_pair", f"select {_QUALIFIED} from (@qualified)")
 def _(d: Data):
-    pairs = match.evaluate_pairs(match.candidate_pairs(_osm(d), _usable(d)))
-    return pairs.select(
-        "osm_id", "censo_id", F.round("distance_m", 2).alias("distance_m"), "method",
-        F.round("name_similarity", 6).alias("name_similarity"), "match_version",
-    )
+    osm, censo = _osm(d), _usable(d)
+    sites = match.qualified_sites(osm, censo)
+    # Rounded before the sites are taken back to their rows, once per site pair.
+    rounded = sites.withColumns({"distance_m": F.round("distance_m", 2), "name_similarity": F.round("name_similarity", 6)})
+    return match.qualified_rows(rounded, osm, censo)
 
 
 @query("w2_one_to_one", f"select {_QUALIFIED}, censo_source, censo_local_id from (@accepted)")
