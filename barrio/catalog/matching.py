@@ -88,7 +88,7 @@ def _(d: Data):
     "from (select *, row_number() over (partition by osm_id order by s desc, distance_m, censo_id) as r from (select *, " + sql_dice("osm_name", "censo_name") + " as s from (@pairs))) where r = 1",
 )
 def _(d: Data):
-    best = match.best_matches(match.candidate_pairs(_osm(d), _usable(d)))
+    best = match.best_matches(_osm(d), _usable(d))
     return best.withColumn("distance_m", F.round("distance_m", 2)).withColumn("score", F.round("score", 6))
 
 

@@ -1,11 +1,13 @@
 """Copies of places at one position are compared once, whatever their number."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from test_joins import STORE, random_stores
 
 import __spark_entry__ as entry_module
 from barrio.catalog import registry
+from barrio.functions.text import dice_tokens
 from barrio.operators import match
 
 COPIES = 12
@@ -29,7 +31,17 @@ def qualified_directly(stores):
     )
 
 
-DIRECT = {"w1_evaluate_pair": qualified_directly}
+def best_by_hand(stores):
+    """The choice among all listed pairs, by a window."""
+    score = dice_tokens(F.col("osm_name"), F.col("censo_name"))
+    first = F.row_number().over(Window.partitionBy("osm_id").orderBy(F.desc("s"), "distance_m", "censo_id"))
+    both = F.when((F.col("osm_name") != "") & (F.col("s") >= 0.6), "both").otherwise("spatial")
+    return direct_pairs(stores).withColumn("s", score).withColumn("r", first).where("r = 1").select(
+        "osm_id", "censo_id", both, F.round("distance_m", 2), F.round("s", 6)
+    )
+
+
+DIRECT = {"w1_evaluate_pair": qualified_directly, "w3_best_match": best_by_hand}
 
 
 @pytest.mark.parametrize("name", sorted(DIRECT))
