@@ -186,10 +186,89 @@ def scan_chain_patterns(patterns: DataFrame) -> DataFrame:
     return patterns.where("enabled").select("pattern")
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size of each input file. A file is hashed whole, by one task per file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("file"),
-        F.sha2("content", 256).alias("file_hash"), F.col("length").alias("size_bytes"),
+# Larger files are streamed; the name endings are those that Hadoop's text reader would unpack.
+WHOLE_BYTES = 64 << 20
+_UNPACKED = r"\.(gz|gzip|bz2|deflate|snappy|lz4|zst|xz|Z)$"
+
+_DIGEST = "path string, sha256 string, length long"
+
+
+def _line_hasher():
+    """The task that hashes files whose lines come in order, file after file; it holds one batch of lines.
+
+    Its functions are local, so that workers without this package run them.
+    """
+    import bisect
+    import hashlib
+    from urllib.parse import unquote
+
+    import pyarrow as pa
+
+    types = (("path", pa.string()), ("sha256", pa.string()), ("length", pa.int64()))
+
+    def closed(path, size, digests, length):
+        # Every line but the last was followed by a line feed. What the lines lack in length tells the rest: one
+        # byte is a last line feed, three a byte-order mark that the reader left out.
+        lacking = size - length
+        if lacking not in (0, 1, 3, 4):
+            raise ValueError(f"{path} changed while it was read: {length} of {size} bytes")
+        digest = digests[lacking > 2]
+        if lacking in (1, 4):
+            digest.update(b"\n")
+        # Paths of the metadata column are escaped as in a URI.
+        row = (unquote(path), digest.hexdigest(), size)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, types)], [n for n, _ in types])
+
+    def hash_lines(batches):
+        path, size, digests, length = None, 0, (), 0
+        for batch in batches:
+            columns = batch.to_pydict()
+            start, rows = 0, len(columns["path"])
+            while start < rows:
+                name = columns["path"][start]
+                end = bisect.bisect_right(columns["path"], name, start)
+                block = b"\n".join(columns["line"][start:end])
+                if name == path:
+                    block = b"\n" + block
+                else:
+                    if path is not None:
+                        yield closed(path, size, digests, length)
+                    path, size, length = name, columns["size"][start], 0
+                    digests = hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf")
+                for digest in digests:
+                    digest.update(block)
+                length += len(block)
+                start = end
+        if path is not None:
+            yield closed(path, size, digests, length)
+
+    return hash_lines
+
+
+def fingerprints(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """SHA-256 and size of each input file.
+
+    SHA-256 runs through a file in order, so one task hashes it. Files of up to `whole_bytes` are read at once. Larger
+    ones are read in splits, as raw lines, which are sorted (the sort spills) and streamed through the hash, so a file
+    may exceed the 2 GB of a value. Large compressed files cannot be read so and are read at once as well.
+    """
+    binary = spark.read.format("binaryFile")
+    files = binary.load(path)
+    # The length is tested before a file is opened; a test of its name would come after.
+    digests = files.where(F.col("length") <= whole_bytes)
+    beyond = files.where(F.col("length") > whole_bytes).select("path", F.col("path").rlike(_UNPACKED).alias("packed")).collect()
+    large, packed = ([r.path for r in beyond if r.packed == kind] for kind in (False, True))
+    if packed:
+        digests = digests.unionByName(binary.load(packed))
+    digests = digests.select("path", F.sha2("content", 256).alias("sha256"), "length")
+    if large:
+        lines = spark.read.text(large, lineSep="\n").select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
+            F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_n"),
+            F.col("value").cast("binary").alias("line"),
+        )
+        ordered = lines.repartition(len(large), "path").sortWithinPartitions("path", "_start", "_n")
+        digests = digests.unionByName(ordered.select("path", "size", "line").mapInArrow(_line_hasher(), _DIGEST))
+    return digests.select(
+        F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("sha256").alias("file_hash"), F.col("length").alias("size_bytes"),
     )
